@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import block_naming, byte_bpe, crf_quality, mixing, quality_rules, secrets, sharding, warc
+from . import block_naming, byte_bpe, crf_quality, lsh_forest, mixing, quality_rules, secrets, sharding, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_crf_quality": crf_quality.op2_crf_quality,
     "op3_secrets": secrets.op3_secrets,
     "op4_block_naming": block_naming.op4_block_naming,
+    "op5_lsh_forest": lsh_forest.op5_lsh_forest,
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality_rules.op8_quality_rules,
