@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for checkpoints.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (a single machine, as in tests) a temporary one is made.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a
+    single machine, as in tests) a temporary one is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(
             context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cyclora-checkpoint-")
         )
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder as Parquet and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Add an integer that tells rows apart, even those that are equal.
 

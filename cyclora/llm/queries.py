@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_naming, byte_bpe, crf_quality, lsh_forest, mixing, quality_rules, secrets, sharding, warc
+from . import block_naming, byte_bpe, crf_quality, lsh_forest, mixing, personal_data, quality_rules, secrets, sharding, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_personal_data": personal_data.op9_personal_data,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
