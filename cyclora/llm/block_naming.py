@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, checkpoint, numbered, table
+from .common import ROW, SPACE, checkpoint, numbered, settled, table
 
 #: Code points in a block.
 BLOCK = 4096
@@ -50,7 +50,7 @@ def name_texts(
     normalised texts are equal, whatever ``digest`` is.
     """
     blocks = (
-        numbered(docs)
+        numbered(settled(docs))
         .select(ROW, "doc_id", normalised().alias("text"))
         .withColumn("n_blocks", F.greatest(F.ceil(F.length("text") / block), F.lit(1)).cast("int"))
         .withColumn("sha", F.unhex(F.sha2("text", 256)))
@@ -136,6 +136,7 @@ def find_copies(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column],
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = settled(docs)
     kept = checkpoint(find_copies(docs).where("kept").select(ROW))
     return numbered(docs).join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 

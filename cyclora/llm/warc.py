@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, checkpoint, numbered, table
+from .common import ROW, checkpoint, numbered, settled, table
 
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 #: An archive is closed when its payloads have this many bytes or it has this many records.
@@ -183,7 +183,7 @@ def archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
     archives; further columns are ignored.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = numbered(pages).select(ROW, "page_id", "url", html.alias("payload"))
+    rows = numbered(settled(pages)).select(ROW, "page_id", "url", html.alias("payload"))
     keys = rows.select(
         ROW, "page_id", F.sha2("payload", 256).alias("key"), F.length("payload").alias("n")
     ).where(F.col("n") >= least)

@@ -1,0 +1,446 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cyclora.llm import block_naming, byte_bpe, crf_quality, lsh_forest, mixing, personal_data, quality_rules, secrets, sharding, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def docs_of(spark, texts, schema=SCHEMA):
+    rows = [(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in texts]
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "house", "of", "green", "and", "river", "Ärger", "naïve", "run", "slow", "over"]) + rng.choice(["", "", ",", "."]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    out = [(i, prose(rng, rng.randint(1, 90))) for i in range(60)]
+    out += [(100 + i, out[i][1]) for i in range(10)]
+    out += [(200 + i, out[i][1].replace(" ", " \t\n")) for i in range(5)]
+    out += [(300, None), (301, ""), (302, " \n"), (303, prose(rng, 20_000)), (304, "🙂é" * 300), (5, out[5][1]), (None, "x y"), (305, "x y")]
+    out += [(400 + i, out[40][1] + f" {i}") for i in range(30)]
+    return out
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(1) for c in ("name", "size", "shard", "kept", "score", "i", "block", "copy", "rate", "key", "spans", "label")})
+
+
+# mixing
+
+
+def test_mix_counts_are_inverse_poisson(spark, texts):
+    docs = docs_of(spark, [x for x in texts if x[0] is not None and x[0] != 5])
+    got = mixing.mix(docs, {"s0": 3.0, "s1": 1.0}, rows_out=900, seed=4)
+    rows = got.collect()
+    counts = collections.Counter(r["doc_id"] for r in rows)
+    n = collections.Counter(r["source"] for r in docs.collect())
+    for r in docs.collect():
+        rate = {"s0": 675, "s1": 225}.get(r["source"], 0) / n[r["source"]]
+        m = max(1, math.ceil(rate / mixing.MEAN))
+        want = 0
+        for j in range(m):
+            u = int(hashlib.md5(f"4:{r['doc_id']}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            c = p = math.exp(-rate / m)
+            k = 0
+            while c <= u:
+                k += 1
+                p *= rate / m / k
+                c += p
+                want += 1
+        assert counts[r["doc_id"]] == want
+    assert 700 < len(rows) < 1100
+    assert {r["copy"] for r in rows if r["doc_id"] == rows[0]["doc_id"]} == set(range(counts[rows[0]["doc_id"]]))
+    for part in got.select("shuffle_key").rdd.glom().collect():
+        keys = [r[0] for r in part]
+        assert keys == sorted(keys)
+
+
+def test_mix_edges(spark, texts):
+    docs = clashing(docs_of(spark, texts)).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    a, b = (mixing.mix(docs, seed=1, rows_out=2000).select("doc_id", "copy", "shuffle_key") for _ in range(2))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.repartition(5).collect()))
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs, {None: 1.0}).where("source is not null").count() == 0
+    assert mixing.mix(docs, {"no such": 1.0}).count() == 0
+    mixing.BROADCAST_ROWS, kept = 0, mixing.BROADCAST_ROWS
+    try:
+        c = mixing.mix(docs, seed=1, rows_out=2000).select("doc_id", "copy", "shuffle_key")
+        assert sorted(map(str, a.collect())) == sorted(map(str, c.collect()))
+    finally:
+        mixing.BROADCAST_ROWS = kept
+
+
+# quality
+
+
+def junk(rng, n):
+    return "\n".join(" ".join(w + rng.choice(["***", "$$$", "###"]) for w in prose(rng, 12).split()) for _ in range(n))
+
+
+def labelled(spark, n=240):
+    rng = random.Random(8)
+    rows = [(i, junk(rng, 6) if i % 4 == 0 else "\n".join(prose(rng, 14) for _ in range(6)), int(i % 4 != 0)) for i in range(n)]
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(3, 1, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    return docs, labels, {i: q for i, _, q in rows}
+
+
+def test_crf_learns_lines(spark):
+    docs, labels, truth = labelled(spark)
+    model = crf_quality.fit(docs, labels, rows=150)
+    got = {r["doc_id"]: r for r in crf_quality.score(clashing(docs), model, ["doc_id", "score"]).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([got[i]["predicted"] == truth[i] for i in held]) > 0.95
+    odd = docs_of(spark, [(1, None), (1, None), (2, ""), (3, "\n \n"), (4, "a b c d\n" * 20_000)])
+    assert all(0 <= r["score"] <= 1 for r in crf_quality.score(odd, model, ["doc_id"]).collect())
+    assert crf_quality.score(odd.limit(0), model, ["doc_id"]).count() == 0
+    none = crf_quality.fit(docs.limit(0), labels.limit(0))
+    assert {r["predicted"] for r in crf_quality.score(docs, none, ["doc_id"]).collect()} <= {0, 1}
+
+
+def test_crf_marginals_by_enumeration():
+    rng = np.random.default_rng(1)
+    sizes = [4, 1, 3]
+    emission, move = rng.normal(size=sum(sizes)), rng.normal(size=(2, 2))
+    chains = crf_quality.Chains([np.zeros((n, 1)) for n in sizes])
+    got, moves, z = chains.marginals(emission, move)
+    want, want_moves, want_z = np.zeros(sum(sizes)), np.zeros((2, 2)), 0.0
+    for start, n in zip(chains.starts, chains.sizes, strict=True):
+        total, good, seen = 0.0, np.zeros(n), np.zeros((2, 2))
+        for code in range(2**n):
+            path = [code >> k & 1 for k in range(n)]
+            w = math.exp(sum(emission[start + k] * path[k] for k in range(n)) + sum(move[a, b] for a, b in zip(path, path[1:])))
+            total += w
+            good += w * np.array(path)
+            for a, b in zip(path, path[1:]):
+                seen[a, b] += w
+        want[start : start + n] = good / total
+        want_moves += seen / total
+        want_z += math.log(total)
+    assert np.allclose(got, want) and np.allclose(moves, want_moves) and math.isclose(z, want_z)
+
+
+def brute_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = collections.Counter(zip(words, words[1:], words[2:]))
+    covered = set()
+    for i, w in enumerate(zip(words, words[1:], words[2:])):
+        if windows[w] > 1:
+            covered |= {i, i + 1, i + 2}
+    return [len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)]
+
+
+def test_rules_statistics_and_forest(spark, texts):
+    docs, labels, truth = labelled(spark)
+    model = quality_rules.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, model, ["doc_id"]).collect()}
+    good = [i for i in truth if truth[i] and not got[i]["base_failed"]]
+    assert np.mean([got[i]["kept"] for i in good]) > 0.95
+    assert not any(got[i]["kept"] for i in truth if not truth[i])
+    some = clashing(docs_of(spark, [(i, t) for i, (_, t) in enumerate(texts)] + [(9000, "a b c\n a b c\n\na b c\na b c"), (9001, "\x0b|\x1c x\x85")]))
+    for r in quality_rules.judge(some.withColumn("t", F.col("text")), model, ["doc_id", "t", "kept"]).collect():
+        assert [r[c] for c in quality_rules.BASE] == brute_base(r["t"])
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+    kept = quality_rules.keep_clean(some, labels)
+    assert kept.columns == some.columns and kept.count() <= some.count()
+    assert quality_rules.keep_clean(some.limit(0), labels).count() == 0
+    assert quality_rules.keep_clean(docs, labels.limit(0)).count() == len([1 for r in got.values() if not r["base_failed"]])
+
+
+# secrets and personal data
+
+
+def brute_secrets(text):
+    kinds = [
+        (r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
+        (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+        (r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+    ]
+    found = [(m.start(), k, m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_secret_spans(spark, texts):
+    rng = random.Random(2)
+    parts = ["token: ", "API_KEY=", "'", '"', "AKIA", "ABCDEF0123456789", "deadbeef", "0123456789abcdef", "secret=", "x", " ", "ſecret:", "password = ", "pässword", "zz/_.=-12345"]
+    more = [(1000 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(800)]
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44))
+    more += [(5000 + i, f"é see {key} here") for i in range(3)] + [(6000, "a/long/path/that/people/write/by/hand and_some_identifier_in_code_2024")]
+    rows = texts + more
+    got = secrets.scan(clashing(docs_of(spark, rows)).withColumn("t", F.col("text")), ["doc_id", "t", "spans"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["base_sha256"] == hashlib.sha256(brute_secrets(r["t"] or "").encode()).hexdigest()
+        assert set(filter(None, brute_secrets(r["t"] or "").split(","))) <= set(r["spans"].split(","))
+        if r["doc_id"] is not None and 5000 <= r["doc_id"] < 5003:
+            assert r["spans"] == "random:6:50"
+        if r["doc_id"] == 6000:
+            assert r["spans"] == ""
+    assert secrets.scan(docs_of(spark, texts).limit(0), ["doc_id"]).count() == 0
+
+
+def test_battery_rejects_prose_and_order():
+    letters = secrets.ENCODINGS["base36"]
+    assert min(secrets.battery("".join(random.Random(1).choices(letters, k=60)), letters)) > 0.001
+    assert min(secrets.battery("abcdefghijklmnopqrstuvwxyz0123456789", letters)) < 0.001
+    assert min(secrets.battery("thethethethethethethethethethe", letters)) < 0.001
+
+
+def luhn(digits):
+    return sum((2 * int(c) - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute_personal(text):
+    only = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(only(m)) <= 19 and luhn(only(m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(only(m)) <= 15),
+    ]
+    found = [(m.start(), k, m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m[0])]
+    return ",".join(f"{personal_data.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_personal_spans(spark, texts):
+    rng = random.Random(3)
+    chars = "ab1234567890..@@+-- ()%_é🙂\n"
+    more = [(1000 + i, "".join(rng.choice(chars) for _ in range(rng.randint(0, 70)))) for i in range(1500)]
+    more += [(3000, "1" * 60_000), (3001, "a." * 30_000), (3002, "a@" + "b." * 20_000 + "c"), (3003, "x@y.z " * 2000), (3004, "4111 1111 1111 1111")]
+    rows = texts + more
+    found = personal_data.find(clashing(docs_of(spark, [(i, t) for i, (_, t) in enumerate(rows)]))).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        want = brute_personal(rows[r["doc_id"]][1] or "")
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
+    assert personal_data.find(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_personal_contexts_are_learnt(spark):
+    rng = random.Random(4)
+    rows = [(i, f"so he said, my phone: +1 (555) 555-{rng.randint(1000, 9999)} and left the 200 ok") for i in range(30)]
+    rows += [(100 + i, f"well, my phone: 555{rng.randint(1000, 9999)} if you like") for i in range(3)]
+    rows += [(200 + i, f"order of the {rng.randint(10**7, 10**8)} pieces of the thing of the house") for i in range(30)]
+    rows += [(300 + i, f"card of the 4111 1111 1111 1111 or of the +1 555 555 {1000 + i}") for i in range(5)]
+    got = {r["doc_id"]: r for r in personal_data.find(docs_of(spark, rows)).collect()}
+    assert all(got[100 + i]["spans"] == "learned:16:23" for i in range(3))
+    assert not any(got[200 + i]["spans"] for i in range(30))
+
+
+# deduplication
+
+
+def brute_copies(rows):
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[SPACE.sub(" ", t or "")].append(i)
+    first = lambda ids: min(ids, key=lambda x: (x is None, x or 0))
+    return {(i, t): (first(groups[SPACE.sub(" ", t or "")]), len(groups[SPACE.sub(" ", t or "")])) for i, t in rows}
+
+
+@pytest.mark.parametrize(("block", "weak"), [(4096, False), (7, False), (7, True)])
+def test_block_names(spark, texts, block, weak):
+    digest = (lambda b: (F.length(b) % 3, F.lit(0))) if weak else block_naming._digest
+    rows = [x for x in texts if x[0] != 303] if block == 7 else texts
+    docs = clashing(docs_of(spark, rows))
+    got = block_naming.find_copies(docs, block, digest).collect()
+    want = brute_copies(rows)
+    by_text = {hashlib.sha256(SPACE.sub(" ", t or "").encode()).hexdigest(): v for (_, t), v in want.items()}
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["keep_id"], r["group_size"]) == by_text[r["text_sha256"]]
+    assert sum(r["kept"] for r in got) == len({r["text_sha256"] for r in got})
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
+def test_drop_copies(spark, texts):
+    docs = clashing(docs_of(spark, texts))
+    kept = block_naming.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len({SPACE.sub(" ", t or "") for _, t in texts})
+    assert block_naming.drop_copies(docs.limit(0)).count() == 0
+
+
+def sets_of(rows, width):
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        w = [x.lower() for x in (t or "").encode().split()]
+        out[k] = frozenset(tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))) if w else frozenset()
+    return out
+
+
+def brute_components(rows, width, percent=80):
+    sets, up = sets_of(rows, width), list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    order = lambda x: (x is None, x or 0)
+    groups = collections.defaultdict(list)
+    for k in sets:
+        groups[root(k)].append(rows[k][0])
+    return sets, [min(groups[root(k)], key=order) for k in sets]
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_copies(spark, texts, width):
+    rng = random.Random(6)
+    base = prose(random.Random(9), 120).split()
+    rows = list(texts)
+    for i in range(150):  # a large region, of which some fall apart
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(words)))
+    rows = [(None if i is None else i, t) for i, t in rows]
+    docs = clashing(docs_of(spark, rows)).withColumn("tag", F.xxhash64("doc_id", "text"))
+    got = lsh_forest.near_copies(docs, width).collect()
+    sets, want = brute_components(rows, width)
+    assert len(got) == len(rows)
+    key = lambda r: (str(r[0]), r[1], str(r[2]))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(
+        ((rows[k][0], len(sets[k]), want[k]) for k in sets), key=key
+    )
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    n_empty = sum(not s for s in sets.values())
+    assert sum(r["stays"] for r in got) == n_empty + len({want[k] for k in sets if sets[k]} )
+    kept = lsh_forest.drop_near_copies(docs, width)
+    assert kept.columns == docs.columns and kept.count() == sum(r["stays"] for r in got)
+
+
+def test_near_copies_of_nothing(spark):
+    docs = docs_of(spark, [(1, None)])
+    assert lsh_forest.near_copies(docs.limit(0)).count() == 0
+    assert lsh_forest.near_copies(docs).first()["component_id"] == 1
+
+
+# archives
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+
+
+def test_archives_round_trip(spark):
+    rng = random.Random(1)
+    rows = [(i, f"http://h{i}.org/", prose(rng, rng.randint(0, 400))) for i in range(60)]
+    rows += [(100 + i, None, rows[3][2]) for i in range(4)] + [(200, "u\r\nX: y", None), (201, "u", ""), (None, "n", "only"), (300, "big", "é" * 3_000_000), (301, "twice", "t"), (301, "twice", "t")]
+    pages = clashing(pages_of(spark, rows))
+    files = warc.archives(pages)
+    got = warc.read(files).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(i) for i, _, _ in rows)
+    best = {}
+    for i, _, h in rows:
+        best[h or ""] = max(best.get(h or "", -1), -1 if i is None else i)
+    for r in got:
+        want = [h or "" for i, _, h in rows if i == r["page_id"]][0]
+        assert r["payload_bytes"] == len(want.encode())
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(want.encode()).digest()).decode()
+        if r["record_type"] == "response":
+            assert r["html"] == want and r["refers_to"] is None
+        else:
+            assert r["html"] is None and r["refers_to"] == best[want]
+    assert sum(r["record_type"] == "response" for r in got) == len(best)
+    assert warc.read(warc.archives(pages.limit(0))).count() == 0
+
+
+def test_archive_format_is_checked():
+    records = [warc.write_record(i, "http://x/", f"page {i}".encode() * 50, None) for i in range(30)]
+    archive = warc.write_archive(records)
+    assert list(warc.records(archive)) == records
+    plain = warc.write_archive(records[:1])
+    assert list(warc.records(plain)) == records[:1]
+    with pytest.raises(warc.WarcError):
+        list(warc.records(archive[:-3]))
+    with pytest.raises(warc.WarcError):
+        list(warc.records(archive[:-1] + bytes([archive[-1] ^ 1])))
+    with pytest.raises(warc.WarcError):
+        list(warc.records(archive + b"junk"))
+    with pytest.raises(warc.WarcError):
+        warc.page(records[0].replace(b"page 0page", b"page 1page", 1))
+    with pytest.raises(warc.WarcError):
+        warc.parse(records[0][:-5])
+
+
+# shards
+
+
+def test_shards_are_contiguous_and_even(spark, texts):
+    docs = clashing(docs_of(spark, texts * 4))
+    got = sharding.shard_by_bytes(docs, 7).collect()
+    assert len(got) == 4 * len(texts)
+    sizes, largest = collections.Counter(), max(r["size"] for r in got)
+    slots = collections.defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    target = sum(sizes.values()) / 7
+    assert all(abs(sizes[k] - target) <= largest for k in range(7))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    want = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts * 4)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+    assert sharding.shard_by_bytes(docs.limit(0), 7).count() == 0
+    assert sharding.shard_by_bytes(docs.limit(1), 40).count() == 1
+
+
+# tokens
+
+
+def test_tokens_are_those_of_ranks(spark, texts):
+    tiktoken = pytest.importorskip("tiktoken")
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.read_ranks(path)
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    rng = random.Random(7)
+    more = [(7000 + i, "".join(rng.choice("abcdeéßñ  \n\t'stmll0123ABC!?.,中🙂́\xa0\x1c\x85") for _ in range(rng.randint(0, 60)))) for i in range(500)]
+    rows = [(k, t) for k, (_, t) in enumerate(texts + more + [(0, "<|endoftext|>"), (0, "a" * 9000), (0, " " * 9000)])]
+    docs = clashing(docs_of(spark, rows)).withColumn("ids", F.lit("clash"))
+    got = {r["doc_id"]: r for r in byte_bpe.encode(docs, path, P.PATTERN, digests=True).collect()}
+    full = {r["doc_id"]: r for r in byte_bpe.encode(docs, path, P.PATTERN, keep=["doc_id", "ids"]).collect()}
+    for k, t in rows:
+        text, ids = t or "", encoding.encode_ordinary(t or "")
+        assert got[k]["n_tokens"] == len(ids)
+        assert got[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[k]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert full[k]["ids"] == ids and full[k]["decoded"] == text
+        for i, a, b in zip(ids, full[k]["starts"], full[k]["ends"], strict=True):
+            assert tokens[i] in text[a:b].encode()
+    assert byte_bpe.encode(docs.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_split_characters_come_back():
+    P = pytest.importorskip("public_tokenizers")
+    tokens = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    encoder = byte_bpe.Encoder(tokens, byte_bpe.tokenizer_json(tokens), P.PATTERN)
+    text = "🤖𝔘 中文"
+    ids = encoder.ids(text)
+    assert any(len(tokens[i]) < len(text[0].encode()) for i in ids[:2])
+    assert byte_bpe.decode(ids, tokens).decode() == text
