@@ -212,14 +212,11 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("term", F.array_join(F.transform("postings", lambda x: x.cast("string")), ",").alias("postings"))
 
 
-@query(
-    r"""SELECT conv_id, turn, unnest([x FOR x IN regexp_extract_all(lower(coalesce(text, '')), '#[a-z0-9_]+')]) AS tag FROM conversations
-UNION ALL SELECT page_id, 0, unnest(regexp_extract_all(lower(coalesce(html, '')), '#[a-z0-9_]+')) FROM pages"""
-)
+@query("SELECT event_id AS id, unnest(['#' || event_type, '#k' || json_extract_string(props, '$.k')]) AS tag FROM events")
 def hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = lambda c: F.explode(T.hashtags(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("#[a-z0-9_]+"), F.lit(0)))).alias("tag")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", tags("text"))
-    return turns.unionByName(table(spark, sf_dir, "pages").select(F.col("page_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), tags("html")))
+    """The tags in texts that are written from events, as the tables have hardly any."""
+    text = F.format_string("User %s: #%s (#K%s) # end", F.col("user_id").cast("string"), "event_type", F.col("k").cast("string"))
+    return keyed_events(spark, sf_dir).select("id", F.explode(T.hashtags(T.tokens(text))).alias("tag"))
 
 
 @query(
