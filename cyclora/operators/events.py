@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from cyclora.functions import text as T
 
@@ -88,14 +89,15 @@ def _ordered(entities: list[str], texts: list[str]) -> list[str]:
     return sorted(entities, key=rank.__getitem__)
 
 
-def order_by_position(entities: Column, texts: Column) -> Column:
-    """Distinct entities (array) in the order in which most of the texts (array) have them."""
+def order_by_position(rows: DataFrame, entities: str = "entities", texts: str = "texts") -> DataFrame:
+    """The rows, with distinct entities (an array) in the order in which most of the texts (an array) have them."""
 
-    @pandas_udf("array<string>")
-    def run(e: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([_ordered(list(dict.fromkeys(x)), list(y)) for x, y in zip(e, t, strict=True)])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch[entities] = [_ordered(list(dict.fromkeys(e)), list(t)) for e, t in zip(batch[entities], batch[texts], strict=True)]
+            yield batch
 
-    return run(entities, texts)
+    return rows.mapInPandas(run, rows.schema)
 
 
 def text_scores(texts: DataFrame, weights: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-from cyclora.plans import events_and_text, periodicity  # noqa: F401
+from cyclora.plans import events_and_text, periodicity, similarity_and_evaluation  # noqa: F401
 from cyclora.plans.registry import QUERIES, SQL  # noqa: F401
