@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, checkpoint, numbered, small_or_shuffled, table
+from .common import BROADCAST_ROWS, ROW, SPACE, checkpoint, numbered, small_or_shuffled, table
 
 KINDS = ["email", "ip", "card", "phone", "learned"]
 
@@ -141,6 +141,8 @@ def _seen(docs: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
     every = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("words"))
     wanted = small_or_shuffled(patterns.select("words").distinct(), n)
+    if n > BROADCAST_ROWS:  # the join shuffles: frequent pairs are counted before it
+        return every.groupBy("words").agg(F.count(F.lit(1)).alias("n_seen")).join(wanted, "words", "left_semi")
     return every.join(wanted, "words", "left_semi").groupBy("words").agg(F.count(F.lit(1)).alias("n_seen"))
 
 
