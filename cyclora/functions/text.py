@@ -81,8 +81,8 @@ def wiki_text(text: Column) -> Column:
 
 
 def wiki_anchor(text: Column) -> Column:
-    """Lower case, without the signs that ``wiki_text`` treats."""
-    return F.translate(F.lower(text), '{.,:)("}', "")
+    """Trimmed and in lower case, without the signs that ``wiki_text`` treats."""
+    return F.translate(F.lower(F.trim(text)), '.,:)("', "")
 
 
 def shares_word(a: Column, b: Column) -> Column:

@@ -63,3 +63,12 @@ def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     right = weights.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
     shared = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return pairs.join(shared, ["a", "b"], "left").fillna(0.0, ["cosine"])
+
+
+def mentions(items: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
+    """id and name for each occurrence of a name (name, lower case) in token arrays (id, tokens).
+
+    For a gazetteer that is too long for one pattern.
+    """
+    grams = items.select("id", F.explode(T.ngrams(F.col("tokens"), longest)).alias("name"))
+    return grams.join(names.select("name").distinct(), "name").select("id", "name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclora.operators.order import positions
+
 
 def prf(rows: DataFrame, gold: str, guess: str, *by: str) -> DataFrame:
     """n, precision, recall and f1 of 0/1 columns, null where a measure does not exist."""
@@ -96,7 +98,71 @@ def first_predictions(predictions: DataFrame) -> DataFrame:
 def allocate(items: DataFrame, n_sets: int, copies: int = 2, seed: int = 0) -> DataFrame:
     """id and set: each item in ``copies`` different ones of ``n_sets`` sets of nearly equal size, in an order hashed from the seed."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
-    buckets = items.select("id", order.alias("__o"))
-    pos = F.row_number().over(Window.orderBy("__o", "id")) - 1
     shift = max(1, n_sets // copies)
-    return buckets.withColumn("__p", pos).select("id", F.explode(F.array(*[(F.col("__p") + F.lit(k * shift)) % n_sets for k in range(copies)])).alias("set"))
+    placed = positions(items.select("id", order.alias("__o")), ["__o", "id"], "__p")
+    return placed.select("id", F.explode(F.array(*[(F.col("__p") + F.lit(k * shift)) % n_sets for k in range(copies)])).alias("set"))
+
+
+def entity_scores(gold: DataFrame, system: DataFrame, lax: bool = False) -> DataFrame:
+    """n_right, n_system, n_gold, precision, recall, f1 of the entities (id, term) that a system found.
+
+    Strict matches are equal; with ``lax`` an entity that contains one of the
+    other side's, or is contained in one, is right. A measure that does not
+    exist is null.
+    """
+    gold, system = (x.select("id", "term").distinct() for x in (gold, system))
+    if lax:
+        found = lax_match(system, gold).agg(F.count(F.when(F.col("matched"), 1)).alias("n_right"), F.count(F.lit(1)).alias("n_system"))
+        missed = lax_match(gold, system).agg(F.count(F.when(F.col("matched"), 1)).alias("n_met"), F.count(F.lit(1)).alias("n_gold"))
+        counts = found.crossJoin(F.broadcast(missed))
+    else:
+        c = compare_sets(system.withColumn("__k", F.struct("id", "term")), gold.withColumn("__k", F.struct("id", "term")), "__k")
+        counts = c.select(F.col("n_both").alias("n_right"), F.col("n_a").alias("n_system"), F.col("n_both").alias("n_met"), F.col("n_b").alias("n_gold"))
+    p, r = F.try_divide(F.col("n_right").cast("double"), "n_system"), F.try_divide(F.col("n_met").cast("double"), "n_gold")
+    return counts.select("n_right", "n_system", "n_gold", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
+
+
+def pooled(a: DataFrame, b: DataFrame) -> DataFrame:
+    """system, precision, recall, f1 of two systems' judged terms (term, correct): recall is over all terms that either has right."""
+    both = a.select(F.lit("a").alias("system"), "term", "correct").unionByName(b.select(F.lit("b").alias("system"), "term", "correct"))
+    each = both.groupBy("system", "term").agg(F.max("correct").alias("correct"))
+    right = each.where("correct = 1").agg(F.countDistinct("term").alias("__all"))
+    got = each.groupBy("system").agg(F.avg("correct").alias("precision"), F.sum("correct").cast("double").alias("__c")).crossJoin(F.broadcast(right))
+    got = got.withColumn("recall", F.try_divide("__c", "__all"))
+    f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return got.select("system", "precision", "recall", f1.alias("f1"))
+
+
+def three_way(gold: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """id, gold, first, second: the entities (id, entities array) of two systems beside those of every gold row; none is an empty array."""
+    none = F.array().cast("array<string>")
+    side = lambda df, name: df.groupBy("id").agg(F.flatten(F.collect_list("entities")).alias(name))  # noqa: E731  of one text
+    got = gold.select("id", F.col("entities").alias("gold")).join(side(first, "first"), "id", "left").join(side(second, "second"), "id", "left")
+    return got.select("id", "gold", F.coalesce("first", none).alias("first"), F.coalesce("second", none).alias("second"))
+
+
+def coverage(a: DataFrame, b: DataFrame, total: DataFrame, key: str) -> DataFrame:
+    """share_a, share_b, share_both, share_any: of all keys, in percent, those that two taggers have."""
+    counts = compare_sets(a, b, key).crossJoin(F.broadcast(total.agg(F.countDistinct(key).alias("__all"))))
+    return counts.select(*[F.try_divide(F.col(f"n_{c}") * 100.0, "__all").alias(f"share_{c}") for c in ("a", "b", "both", "any")])
+
+
+def step_statistics(steps: DataFrame) -> DataFrame:
+    """n, mean, deviation (population) and median of (step)."""
+    return steps.agg(F.count("step").alias("n"), F.avg("step").alias("mean"), F.stddev_pop("step").alias("deviation"), F.median("step").alias("median"))
+
+
+def pattern_kind(pattern: Column) -> Column:
+    """What a pattern string <year,month,week,day,weekday,nth> says: yearly or monthly date or nth weekday, yearly week, or weekly."""
+    slots = F.split(F.translate(pattern, "<>", ""), ",")
+    fixed = lambda k: F.get(slots, F.lit(k)).rlike("^[0-9]+$")
+    recurs = F.when(slots[0] == "e", "yearly").when(slots[1] == "e", "monthly").when(slots[2] == "e", "weekly")
+    what = F.when(fixed(3), " date").when(fixed(5), " nth weekday").when(fixed(2), " week").otherwise("")
+    return F.concat(recurs, what)
+
+
+def answers(allocated: DataFrame, given: DataFrame) -> DataFrame:
+    """The votes (survey, pos, vote) on allocated items (survey, pos, system, item): one row for each system and item, with the array of its votes in order of surveys."""
+    rows = allocated.join(given, ["survey", "pos"])
+    votes = F.array_sort(F.collect_list(F.struct("survey", "vote")))  # a few annotators
+    return rows.groupBy("system", "item").agg(F.transform(votes, lambda v: v["vote"]).alias("votes"))

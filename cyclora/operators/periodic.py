@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclora.functions.dates import features
+from cyclora.operators.cluster import components, leaders, overlapping_sets
 
 SLOTS = ["month", "week", "day", "weekday", "nth"]
 #: Most steps that count as periodic.
@@ -219,8 +220,6 @@ def select(scored: DataFrame) -> DataFrame:
 
 def group_similar(chosen: DataFrame, cosines: DataFrame, threshold: float) -> DataFrame:
     """term, pattern, component: terms of one pattern whose cosine (a, b, pattern, cosine) is above the threshold, by their least term."""
-    from cyclora.operators.cluster import components
-
     nodes = chosen.select("term", "pattern").distinct().withColumn("id", F.xxhash64("term", "pattern"))
     a = nodes.select(F.col("term").alias("ta"), F.col("pattern"), F.col("id").alias("a"))
     b = nodes.select(F.col("term").alias("tb"), F.col("pattern"), F.col("id").alias("b"))
@@ -258,3 +257,53 @@ def predict_timeline(scores: DataFrame, steps: DataFrame, last: DataFrame, until
     rows = rows.withColumn("__n", n).where("__n >= 1")
     each = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
     return each.select("term", "last_date", F.date_add("last_date", (F.col("k") * F.col("step")).cast("int")).alias("date"), "step", "score")
+
+
+def since(dates: DataFrame, start: str) -> DataFrame:
+    """Dates of the terms that have one on or after ``start``; earlier ones are their history."""
+    late = dates.where(F.col("date") >= F.lit(start).cast("date")).select("term").distinct()
+    return dates.join(late, "term", "left_semi")
+
+
+def inliers(rows: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is less than one population deviation from the mean of all."""
+    stats = rows.agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__dev"))
+    near = F.abs(F.col(value) - F.col("__mean")) < F.col("__dev")
+    return rows.crossJoin(F.broadcast(stats)).where(near).drop("__mean", "__dev")
+
+
+def similar_dates(dates: DataFrame, gaps: DataFrame, least: int = 3, share: float = 0.5, apart: float = 10.0) -> DataFrame:
+    """Pairs a < b of terms that share ``least`` dates, more than ``share`` of the dates of either, and have mean intervals less than ``apart`` days apart."""
+    means = gaps.groupBy("term").agg(F.avg("interval").alias("m"))
+    pairs = overlapping_sets(dates.select(F.col("term").alias("id"), F.col("date").alias("item")), share).where(F.col("shared") >= least)
+    pairs = pairs.join(means.select(F.col("term").alias("a"), F.col("m").alias("ma")), "a").join(means.select(F.col("term").alias("b"), F.col("m").alias("mb")), "b")
+    return pairs.where(F.abs(F.col("ma") - F.col("mb")) < apart).select("a", "b", "shared")
+
+
+def group_by_dates(scores: DataFrame, dates: DataFrame, gaps: DataFrame, cosines: DataFrame, threshold: float) -> DataFrame:
+    """term and head: terms with interval scores, first led by the least term that they share dates with, then split by cosines (a, b, cosine)."""
+    scored = scores.select("term")
+    near = similar_dates(dates.join(scored, "term", "left_semi"), gaps)
+    led = leaders(scored.select(F.col("term").alias("id")), near)
+    side = lambda k: led.select(F.col("id").alias(k), F.col("leader").alias(f"l{k}"))
+    edges = cosines.where(F.col("cosine") > threshold).join(side("a"), "a").join(side("b"), "b").where("la = lb").select("a", "b")
+    return components(scored.select(F.col("term").alias("id")), edges).select(F.col("id").alias("term"), F.col("component").alias("head"))
+
+
+def merge_intervals(groups: DataFrame, scores: DataFrame, dates: DataFrame) -> DataFrame:
+    """term (the head), terms, score (the least), dates and intervals of groups (term, head).
+
+    Of several terms the dates are united and intervals of under two days
+    left out; a single term keeps its own.
+    """
+    joined = groups.join(scores.select("term", "score"), "term").groupBy("head").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.min("score").alias("score"))
+    united = groups.join(dates, "term").groupBy("head").agg(F.array_sort(F.collect_set("date")).alias("dates"))
+    at = F.filter(F.sequence(F.lit(1), F.size("dates")), lambda k: k < F.size("dates"))
+    gaps = F.transform(at, lambda k: F.datediff(F.element_at("dates", k + 1), F.element_at("dates", k)))
+    kept = F.when(F.size("terms") > 1, F.filter(gaps, lambda g: g >= 2)).otherwise(gaps)
+    return joined.join(united, "head").select(F.col("head").alias("term"), "terms", "score", "dates", kept.alias("intervals"))
+
+
+def texts_of_patterns(found: DataFrame, mentions: DataFrame) -> DataFrame:
+    """term, pattern, date, text_id: the texts (term, date, text_id) of the dates that patterns (term, pattern, dates) cover."""
+    return found.select("term", "pattern", F.explode("dates").alias("date")).join(mentions, ["term", "date"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclora.functions.association import g_squared
+from cyclora.operators.order import running_sums
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -78,23 +79,9 @@ def co_occurrence(items: DataFrame) -> DataFrame:
 
 
 def running_precision(judged: DataFrame, score: str, correct: str, tie: str) -> DataFrame:
-    """Rank (by score, then ``tie``) and precision of the rows up to it.
-
-    A running sum over all rows in order needs an order over all; it is kept
-    in one place per score, which are summed first.
-    """
-    by_score = judged.groupBy(score).agg(F.sum(correct).alias("__c"), F.count(F.lit(1)).alias("__n"))
-    above = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    before = by_score.select(
-        score, F.coalesce(F.sum("__c").over(above), F.lit(0)).alias("__cb"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__nb")
-    )
-    inside = Window.partitionBy(score).orderBy(tie)
-    return (
-        judged.join(before, score)
-        .withColumn("rank", F.row_number().over(inside) + F.col("__nb"))
-        .withColumn(
-            "precision",
-            (F.sum(correct).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__cb")).cast("double") / F.col("rank"),
-        )
-        .drop("__cb", "__nb")
-    )
+    """Rank (by falling score, then ``tie``) and precision of the rows up to it. Null scores come last."""
+    rows = judged.withColumns({"__s": F.coalesce(-F.col(score), F.lit(float("inf"))), "__one": F.lit(1).cast("long")})
+    rows = running_sums(rows, ["__s", tie], {"__n": "__one", "__c": correct})
+    return rows.withColumns(
+        {"rank": F.col("__n") + 1, "precision": (F.col("__c") + F.col(correct)).cast("double") / (F.col("__n") + 1)}
+    ).drop("__s", "__one", "__n", "__c")

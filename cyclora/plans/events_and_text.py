@@ -220,7 +220,7 @@ def hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT item_id, regexp_replace(translate(lower(text), '()"', ''), '([,.:])', ' \1', 'g') AS plain, translate(lower(text), '{.,:)("}', '') AS anchor FROM benchmark"""
+    r"""SELECT item_id, regexp_replace(translate(lower(text), '()"', ''), '([,.:])', ' \1', 'g') AS plain, translate(lower(trim(text)), '.,:)("', '') AS anchor FROM benchmark"""
 )
 def wiki_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.wiki_text(F.col("text")).alias("plain"), T.wiki_anchor(F.col("text")).alias("anchor"))

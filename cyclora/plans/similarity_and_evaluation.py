@@ -125,13 +125,8 @@ GROUP BY x.u, y.u, sx.n, sy.n HAVING count(*) > 2 AND count(*) > 0.5 * sx.n AND
 )
 def date_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that share more than two days, and more than half of the days of either: sets are compared by shared days."""
-    t = keyed_events(spark, sf_dir).select("user_id", "date").distinct()
-    days = t.groupBy("user_id").agg(F.collect_set("date").alias("days"))  # days of one user
-    pairs = C.same_key_pairs(t.select("date", F.col("user_id").alias("id")), "date").select("a", "b").distinct()
-    side = lambda k: days.select(F.col("user_id").alias(k), F.col("days").alias(f"d{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", C.dot_of_sets(F.col("da"), F.col("db")))
-    half = lambda k: F.col("shared") > 0.5 * F.size(f"d{k}")
-    return both.where((F.col("shared") > 2) & half("a") & half("b")).select("a", "b", "shared")
+    t = keyed_events(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("date").alias("item"))
+    return C.overlapping_sets(t, 0.5).where("shared > 2")
 
 
 # merging of windows
