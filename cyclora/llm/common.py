@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.sources.shared import shared_folder
+
 #: A word is a maximal run of characters other than space and U+0009..U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a lookup table that may be broadcast. Beyond it the join is shuffled.
 BROADCAST_ROWS = 20_000
 
+_CORES = "spark.sql.leafNodeDefaultParallelism"
+
 #: Internal row identity; long enough not to meet a caller's own column.
 ROW = "__cyclora_row"
 
@@ -24,20 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for checkpoints.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a
-    single machine, as in tests) a temporary one is made.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cyclora-checkpoint-")
-        )
-    return context.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the cluster's shared folder."""
     shared_folder(df.sparkSession)
@@ -71,8 +60,13 @@ def numbered(df: DataFrame) -> DataFrame:
     """Add an integer that tells rows apart, even those that are equal.
 
     It follows the order of partitions and rows. Of a settled table each row
-    has the same number each time.
+    has the same number each time: the size at which files are split hangs on
+    the number of cores that are there, which changes when executors are lost,
+    so the session keeps the first such number for its later scans.
     """
+    spark = df.sparkSession
+    if not spark.conf.get(_CORES, None):
+        spark.conf.set(_CORES, spark.sparkContext.defaultParallelism)
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 

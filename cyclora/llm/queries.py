@@ -20,5 +20,7 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op4_block_naming": block_naming.OP4_SQL,
+    "op5_lsh_forest": lsh_forest.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op7_sharding": sharding.OP7_SQL,
 }

@@ -7,42 +7,23 @@ and the global sum is cut at equal targets. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, checkpoint, numbered, table
+from cyclora.operators.order import running_sums
+
+from .common import ROW, numbered, table
 
 #: Bytes that a row counts beside its text.
 ROW_BYTES = 16
 
 
-def prefix_sums(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """Add exclusive prefix sums over all rows in the order given: ``sums`` maps a new column to the column summed.
-
-    The order must be total. Rows are ranged by it, so no partition holds more
-    than its share even where one key has many rows; nothing but one total per
-    partition is gathered.
-    """
-    ranged = checkpoint(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: its size is bounded by the number of partitions
-    return (
-        ranged.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
-        .join(F.broadcast(offsets), "__part")
-        .withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in sums})
-        .drop("__part", *[f"__o_{n}" for n in sums])
-    )
-
-
 def shard_by_bytes(docs: DataFrame, n_shards: int) -> DataFrame:
     """Put every row of ``docs`` (doc_id, text) into one of ``n_shards`` contiguous shards of nearly equal bytes.
 
     A row counts the UTF-8 bytes of its text plus 16; a null text has none and
-    CRC 0. Rows are in the order of a hash of the text, then doc_id, then
-    input order: equal texts stand together, and only a group that meets a cut
+    CRC 0. Rows are in the order of the first 60 bits of the text's MD5, then
+    doc_id, then input order: equal texts stand together, and only a group that meets a cut
     is in more than one shard. A row goes where its middle byte falls, so a
     shard is off its target by at most the largest row at each end; a row
     larger than the target leaves neighbouring shards short or empty. Null doc_ids
@@ -58,10 +39,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int) -> DataFrame:
         ROW,
         (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("__text"),
+        F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("__text"),
         F.lit(1).cast("long").alias("__one"),
     )
-    placed = prefix_sums(rows, ["__text", "doc_id", ROW], {"__bytes": "size", "__rank": "__one"})
+    placed = running_sums(rows, ["__text", "doc_id", ROW], {"__bytes": "size", "__rank": "__one"})
     total = placed.agg(F.sum("size").alias("__total"))
     middle = (2 * F.col("__bytes") + F.col("size")).cast("decimal(38,0)") * n_shards
     sharded = placed.crossJoin(F.broadcast(total)).withColumn(
@@ -83,3 +64,24 @@ def shard_by_bytes(docs: DataFrame, n_shards: int) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), 40)
+
+
+#: DuckDB has no CRC: it is computed from half bytes, the lower one of each byte first.
+OP7_SQL = r"""
+WITH tab AS (SELECT list(c ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(range(0, 4), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c FROM range(0, 16) AS r(n))),
+b AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n FROM documents),
+v AS (SELECT *, list_transform(string_split(hex(encode(text)), ''), lambda x: strpos('0123456789ABCDEF', x) - 1) AS v FROM b),
+r AS (
+  SELECT doc_id, n + 16 AS size, ('0x' || substr(md5(text), 1, 15))::BIGINT AS h,
+         xor(coalesce(list_reduce(list_transform(range(1, 2 * n + 1), lambda i: v[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]),
+           lambda c, x: xor(tab.t[(xor(c, x) & 15) + 1], c >> 4), 4294967295), 4294967295), 4294967295) AS text_crc32
+  FROM v, tab),
+p AS (
+  SELECT *, sum(size) OVER w - size AS before, sum(size) OVER () AS total
+  FROM r WINDOW w AS (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, least((2 * before + size) * 40 // (2 * total), 39)::INTEGER AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM s
+"""
