@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from cyclora.functions import text as T
 
 
-def _columns(spark: SparkSession, path: str | list[str], header: bool = False, encoding: str = "utf-8") -> DataFrame:
-    """Lines split at tabs (c), with the name of their file (file)."""
-    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    rows = lines.select(F.split("value", "\t", -1).alias("c"), "file")
-    if header:  # the first line of each file: as its columns don't hold a date or number where rows do, it fails to parse below
-        rows = rows.where(~F.lower(F.element_at("c", 1)).isin("id", "tweet_id", "tid"))
-    return rows
+def _columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines split at tabs (c). A header has no date or number where rows have one, so it goes with the malformed lines."""
+    return spark.read.text(path).select(F.split("value", "\t", -1).alias("c"))
 
 
 def _at(k: int) -> Column:
@@ -96,7 +92,8 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def names(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """Distinct lower-case names, one a line."""
-    return spark.read.option("encoding", encoding).text(path).select(F.lower(F.trim("value")).alias("name")).where("name <> ''").distinct()
+    value = F.decode(F.col("value").cast("binary"), encoding)  # lines come as the bytes they are
+    return spark.read.text(path).select(F.lower(F.trim(value)).alias("name")).where("name <> ''").distinct()
 
 
 def tagged_posts(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +129,7 @@ def periodic_report(spark: SparkSession, path: str) -> DataFrame:
 
 def survey_export(spark: SparkSession, path: str) -> DataFrame:
     """Answers (pos, vote) of a survey's third line: columns from the tenth on that are empty or 0 to 3, without the first two and the last."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.get(F.split("value", "\r?\n", -1), F.lit(2)).alias("line"))
+    lines = spark.read.text(path, wholetext=True).select(F.get(F.split("value", "\r?\n", -1), F.lit(2)).alias("line"))
     kept = F.filter(F.slice(F.split("line", ",", -1), 11, 100_000), lambda v: v.isin("", "0", "1", "2", "3"))
     return lines.select(F.posexplode(F.slice(kept, 3, F.greatest(F.size(kept) - 3, F.lit(0)))).alias("pos", "vote"))
 
@@ -141,7 +138,7 @@ def survey_questions(spark: SparkSession, path: str) -> DataFrame:
     """pos and the bold parts of each multiple-choice question of a survey's text."""
     from cyclora.functions.markup import bold
 
-    pages = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\[\[Question:MC[^\]]*\]\]", -1)).alias("pos", "part"))
+    pages = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\[\[Question:MC[^\]]*\]\]", -1)).alias("pos", "part"))
     return pages.where("pos > 0").select("pos", bold(F.col("part")).alias("parts"))
 
 
