@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -124,9 +126,12 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> tuple[list[tuple
     The former are (start, end, class of length, step of the p-value).
     """
     found, tried = [], []
+    starts = [a for a, _, _ in taken]
+    reach = list(accumulate((b for _, b, _ in taken), max))  # where the spans so far end at most
     for m in _CANDIDATE.finditer(text):
         token = m[0]
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        before = bisect_left(starts, m.end())
+        if before and reach[before - 1] > m.start():
             continue
         size = len(token).bit_length()
         tried.append(size)

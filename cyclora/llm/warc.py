@@ -216,6 +216,38 @@ def archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return sent.mapInArrow(run, "name string, content binary")
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write archives (name, content) as files into a folder that driver and executors share; returns name and n_bytes.
+
+    A file gets its name only when it is whole, so a task that is run again
+    leaves nothing broken. ``folder`` is a path or URI that pyarrow can write to.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, content in zip(*batch.columns, strict=True):
+                draft = f"{path}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content.as_py())
+                store.move(draft, f"{path}/{name}")
+                sizes.append(len(content.as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "n_bytes"])
+
+    return checkpoint(files.select("name", "content").mapInArrow(run, "name string, n_bytes bigint"))
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages in the archives of a folder."""
+    return read(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder))
+
+
 def read(files: DataFrame) -> DataFrame:
     """The pages in archives (a binary column ``content``): page_id, url, html, payload_bytes, payload_digest, record_type, refers_to.
 
