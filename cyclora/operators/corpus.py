@@ -65,6 +65,25 @@ def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.join(shared, ["a", "b"], "left").fillna(0.0, ["cosine"])
 
 
+def similar_pairs(weights: DataFrame, threshold: float, keys: DataFrame | None = None) -> DataFrame:
+    """a < b and cosine of all pairs of ids (id, term, weight; rows of unit length) whose cosine is above a positive threshold.
+
+    With ``keys`` (id, key), only pairs with an equal key. Nothing is compared
+    but sets that can be similar: in an order of terms from rare to frequent,
+    the first term that two sets share must be one from which on either is
+    still as long as the threshold, since the cosine is at most the product of
+    what is left of both.
+    """
+    frequency = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.sum(F.col("weight") * F.col("weight")).over(rest)
+    heads = weights.join(frequency, "term").withColumn("left", left).where(F.col("left") >= threshold * threshold - 1e-9)
+    heads, on = (heads.select("id", "term"), ["term"]) if keys is None else (heads.select("id", "term").join(keys.select("id", "key"), "id"), ["key", "term"])
+    side = lambda k: heads.select(*on, F.col("id").alias(k))
+    pairs = side("a").join(side("b"), on).where("a < b").select("a", "b").distinct()
+    return cosines(pairs, weights).where(F.col("cosine") > threshold)
+
+
 def mentions(items: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
     """id and name for each occurrence of a name (name, lower case) in token arrays (id, tokens).
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cyclora.functions import linking as L
 from cyclora.functions import text as T
-from cyclora.operators import cluster as C
 from cyclora.operators import corpus, enrich, events
 from cyclora.operators import evaluate as E
 from cyclora.operators import periodic as P
@@ -111,10 +110,9 @@ def calendar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("term"), F.to_date("o_orderdate").alias("date"), T.terms(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).alias("w"))
     each = P.texts_of_patterns(scored, orders.select("term", "date", F.col("w").alias("text_id")))
     docs = each.groupBy("term", "pattern").agg(F.flatten(F.collect_list("text_id")).alias("tokens")).withColumn("id", F.xxhash64("term", "pattern"))
-    pairs = C.same_key_pairs(docs, "pattern").select("a", "b", "pattern")
-    sims = corpus.cosines(pairs.select("a", "b"), corpus.tfidf(docs.select("id", "tokens")))
-    name = lambda k: docs.select(F.col("id").alias(k), F.col("term").alias(f"t{k}"))
-    cosines = sims.join(pairs, ["a", "b"]).join(name("a"), "a").join(name("b"), "b").select("ta", "tb", "pattern", "cosine")
+    sims = corpus.similar_pairs(corpus.tfidf(docs.select("id", "tokens")), 0.7, docs.select("id", F.col("pattern").alias("key")))
+    name = lambda k, *more: docs.select(F.col("id").alias(k), F.col("term").alias(f"t{k}"), *more)
+    cosines = sims.join(name("a", "pattern"), "a").join(name("b"), "b").select("ta", "tb", "pattern", "cosine")
     groups = P.group_similar(scored, cosines, 0.7)
     got = P.merge_groups(scored, groups, dates)
     return got.select("term", "pattern", F.size("dates").alias("n"), "step", F.round("coverage", 6).alias("coverage"), F.round("consistency", 6).alias("consistency"))

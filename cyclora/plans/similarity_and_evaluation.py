@@ -20,10 +20,8 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
 
 
-def _turn_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _turns(spark, sf_dir)
-    weights = corpus.tfidf(turns.select("id", T.terms(F.col("text")).alias("tokens")))
-    return corpus.cosines(C.same_key_pairs(turns, "conv_id").select("a", "b"), weights)
+def _turn_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.tfidf(_turns(spark, sf_dir).select("id", T.terms(F.col("text")).alias("tokens")))
 
 
 _TURN_COSINES = """
@@ -40,19 +38,27 @@ s AS (SELECT a, b, sum(wa.weight * wb.weight) AS cosine FROM p JOIN w wa ON wa.i
 
 @query(_TURN_COSINES + "SELECT p.a, p.b, round(coalesce(cosine, 0), 6) AS cosine FROM p LEFT JOIN s ON s.a = p.a AND s.b = p.b")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turn_cosines(spark, sf_dir).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    pairs = C.same_key_pairs(_turns(spark, sf_dir), "conv_id").select("a", "b")
+    return corpus.cosines(pairs, _turn_weights(spark, sf_dir)).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query(_TURN_COSINES + "SELECT a, b, round(cosine, 6) AS cosine FROM s WHERE cosine > 0.7")
 def same_date_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turn_cosines(spark, sf_dir).where("cosine > 0.7").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    keys = _turns(spark, sf_dir).select("id", F.col("conv_id").alias("key"))
+    return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.7, keys).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query(_TURN_COSINES.replace("a.conv_id = b.conv_id AND ", "") + "SELECT a, b, round(cosine, 6) AS cosine FROM s WHERE cosine > 0.4")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of any conversation."""
+    return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.4).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query()
 def same_date_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average-linkage clusters of turns of one conversation."""
-    turns = _turns(spark, sf_dir).select("id", F.length("text").cast("double").alias("score"))
-    return C.merge_same_date(turns, _turn_cosines(spark, sf_dir), 0.2)
+    turns = _turns(spark, sf_dir).select("id", F.col("conv_id").alias("date"), F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"))
+    return C.merge_same_date(turns, _turn_weights(spark, sf_dir), 0.2)
 
 
 @query(
