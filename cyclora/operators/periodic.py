@@ -280,10 +280,12 @@ def similar_dates(dates: DataFrame, gaps: DataFrame, least: int = 3, share: floa
     return pairs.where(F.abs(F.col("ma") - F.col("mb")) < apart).select("a", "b", "shared")
 
 
-def group_by_dates(scores: DataFrame, dates: DataFrame, gaps: DataFrame, cosines: DataFrame, threshold: float) -> DataFrame:
-    """term and head: terms with interval scores, first led by the least term that they share dates with, then split by cosines (a, b, cosine)."""
+def group_by_dates(scores: DataFrame, near: DataFrame, cosines: DataFrame, threshold: float) -> DataFrame:
+    """term and head: terms with interval scores, first led by the least term that they share dates with, then split by cosines (a, b, cosine).
+
+    ``near`` has the pairs (a, b) of ``similar_dates`` of these terms.
+    """
     scored = scores.select("term")
-    near = similar_dates(dates.join(scored, "term", "left_semi"), gaps)
     led = leaders(scored.select(F.col("term").alias("id")), near)
     side = lambda k: led.select(F.col("id").alias(k), F.col("leader").alias(f"l{k}"))
     edges = cosines.where(F.col("cosine") > threshold).join(side("a"), "a").join(side("b"), "b").where("la = lb").select("a", "b")

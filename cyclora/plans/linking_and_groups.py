@@ -12,6 +12,7 @@ from cyclora.operators import evaluate as E
 from cyclora.operators import periodic as P
 from cyclora.plans.registry import query
 from cyclora.plans.standins import keyed_events, sparse_terms, table
+from cyclora.sources.shared import shared_folder
 
 # names of nations in texts that are written from customers
 
@@ -96,7 +97,9 @@ def stdev_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = P.term_dates(keyed_events(spark, sf_dir).select(F.col("user_id").alias("term"), "date"))
     gaps = P.intervals(dates)
     scores = P.relative_deviation(gaps, more_than=0)
-    groups = P.group_by_dates(scores, dates, gaps, _cosines_of(spark, sf_dir, P.similar_dates(dates, gaps)), 0.1)
+    shared_folder(spark)
+    near = P.similar_dates(dates.join(scores, "term", "left_semi"), gaps).checkpoint()
+    groups = P.group_by_dates(scores, near, _cosines_of(spark, sf_dir, near), 0.6)
     got = P.merge_intervals(groups, scores, dates)
     return got.select("term", F.array_join(F.transform("terms", lambda t: t.cast("string")), ",").alias("terms"), F.round("score", 6).alias("score"), F.size("dates").alias("n_dates"), F.size("intervals").alias("n_intervals"))
 
@@ -107,6 +110,8 @@ def calendar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = P.term_dates(sparse_terms(spark, sf_dir))
     found = P.sequences(dates, "date")
     scored = P.select(P.score(found, dates.groupBy("term").agg(F.count(F.lit(1)).alias("n_dates")))).where("score > 0.25")
+    shared_folder(spark)
+    scored = scored.checkpoint()  # used three times
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("term"), F.to_date("o_orderdate").alias("date"), T.terms(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).alias("w"))
     each = P.texts_of_patterns(scored, orders.select("term", "date", F.col("w").alias("text_id")))
     docs = each.groupBy("term", "pattern").agg(F.flatten(F.collect_list("text_id")).alias("tokens")).withColumn("id", F.xxhash64("term", "pattern"))

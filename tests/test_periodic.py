@@ -188,8 +188,8 @@ def test_terms_are_grouped_by_dates(spark):
     assert pairs == want
     scores = P.relative_deviation(gaps)
     cosines = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.2), ("b", "c", 0.2), ("a", "d", 0.99)], "a string, b string, cosine double")
-    # ids are compared as they are, so terms may be strings
-    groups = P.group_by_dates(scores.select(F.ascii("term").alias("term"), "score"), dates.select(F.ascii("term").alias("term"), "date"), gaps.select(F.ascii("term").alias("term"), "interval"), cosines.select(F.ascii("a").alias("a"), F.ascii("b").alias("b"), "cosine"), 0.5)
+    coded = lambda df, *more: df.select(F.ascii("a").alias("a"), F.ascii("b").alias("b"), *more)
+    groups = P.group_by_dates(scores.select(F.ascii("term").alias("term"), "score"), coded(P.similar_dates(dates, gaps)), coded(cosines, "cosine"), 0.5)
     found = {chr(r["term"]): chr(r["head"]) for r in groups.collect()}
     assert found == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
     merged = P.merge_intervals(groups, scores.select(F.ascii("term").alias("term"), "score"), dates.select(F.ascii("term").alias("term"), "date"))

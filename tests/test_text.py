@@ -90,3 +90,9 @@ def test_labels_of_tokens(spark):
     assert one(spark, M.labelled(F.col("t"), F.col("e")), t=tokens, e=entities) == ["O", "O", "O", "B-ORG", "B-ORG", "O", "O", "B-ORG", "B-ORG", "B-ORG"]
     assert one(spark, M.labelled(F.col("t"), F.col("e")), t=tokens, e=["rode hond"])[3:5] == ["B-ORG", "I-ORG"]
     assert one(spark, M.bold(F.col("h")), h="<b>Een</b> x <B>twee<br />") == ["Een", "twee"]
+
+
+def test_phrases_meet(spark):
+    rows = spark.createDataFrame([("rode hond", "hond zwart", "een hond zwart en rode hond"), ("a b", "ab", "ab a b"), ("x", "y", "x")], "a string, b string, t string")
+    got = rows.select(T.shares_word(F.col("a"), F.col("b")), T.positions_before(F.col("t"), F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (False, None)]
