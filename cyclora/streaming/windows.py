@@ -26,8 +26,9 @@ def day_windows(stream: DataFrame, store: str, emit: Callable[[DataFrame, int],
     """Keep the posts (date, entity, text) of the last ``days`` distinct dates in ``store`` and hand them over after each batch.
 
     ``emit`` gets the posts of the window and the batch's number, once there
-    are ``least`` dates. Each batch writes its own snapshot, so that a batch
-    that is run again gives the same; the last two are kept.
+    are ``least`` dates. Each batch writes its own snapshot from that of the
+    batch before, so that a batch that is run again gives the same; older
+    snapshots may be removed.
     """
 
     def run(batch: DataFrame, number: int) -> None:
