@@ -10,6 +10,7 @@ from cyclora.functions import text as T
 from cyclora.operators import corpus, ranking
 from cyclora.plans.registry import query
 from cyclora.plans.standins import document_tokens, event_pairs, keyed_events, table
+from cyclora.sources.shared import spread
 
 _G2 = """
 CASE WHEN o > 0 AND dc * ec > 0 THEN o * log2(o / (dc * ec / n)) ELSE 0 END
@@ -133,7 +134,7 @@ _CHUNKS = "SELECT row_number() OVER () AS id, regexp_extract_all(lower(text), '[
 
 @query(_NGRAMS.format(source=_CHUNKS.format(table="conversations")) + "SELECT ngram, n::INTEGER AS n, count(*) AS n_total FROM g GROUP BY ALL HAVING count(*) >= 3")
 def ngram_1_5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select(T.terms(F.col("text")).alias("tokens"))
+    turns = spread(table(spark, sf_dir, "conversations").select("text")).select(T.terms(F.col("text")).alias("tokens"))
     return corpus.ngram_counts(turns, 5, 3).select("ngram", "n", "n_total")
 
 
@@ -153,7 +154,7 @@ def _commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(T.terms(F.col("text")).alias("t"))
     heads = F.transform(F.sequence(F.lit(1), F.least(F.lit(5), F.size("t"))), lambda n: F.array_join(F.slice("t", 1, n), " "))
     anchors = items.where(F.size("t") > 0).select(F.explode(heads).alias("ngram"))
-    turns = table(spark, sf_dir, "conversations").select(T.terms(F.col("text")).alias("tokens"))
+    turns = spread(table(spark, sf_dir, "conversations").select("text")).select(T.terms(F.col("text")).alias("tokens"))
     return corpus.commonness(anchors, turns)
 
 
@@ -168,7 +169,7 @@ def ngram_commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM g JOIN k USING (ngram) WHERE commonness > 0.05 AND NOT (n = 1 AND regexp_matches(ngram, '^(~|[0-9]|ga$)')) GROUP BY ngram"""
 )
 def ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), T.terms(F.col("text")).alias("tokens"))
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(F.struct("conv_id", "turn").alias("id"), T.terms(F.col("text")).alias("tokens"))
     linked = corpus.link(turns, _commonness(spark, sf_dir))
     return linked.groupBy("ngram").agg(F.round(F.first("commonness"), 6).alias("commonness"), F.count(F.lit(1)).alias("n"))
 

@@ -9,6 +9,7 @@ from cyclora.functions import dates as D
 from cyclora.operators import periodic as P
 from cyclora.plans.registry import query
 from cyclora.plans.standins import dense_terms, sparse_terms, table
+from cyclora.sources.shared import spread
 
 _SPARSE = "WITH t AS (SELECT DISTINCT o_custkey AS term, o_orderdate::DATE AS date FROM orders)"
 _DENSE = "WITH t AS (SELECT DISTINCT l_suppkey AS term, l_shipdate::DATE AS date FROM lineitem)"
@@ -226,6 +227,7 @@ def dutch_relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.element_at(F.array(F.lit("dagen"), F.lit("weken"), F.lit("maanden")), (F.col("id") % 3 + 1).cast("int"))
     cue = F.element_at(F.array(F.lit("Nog ongeveer"), F.lit("over")), (F.col("id") % 2 + 1).cast("int"))
     text = F.concat_ws(" ", cue, (F.col("id") % 20 + 1).cast("string"), unit, F.lit("is het zover"))
+    orders = spread(orders)
     found = D.date_references(text, F.col("posted"))
     return orders.select("id", "posted", F.explode(found["refdates"]).alias("refdate"))
 
@@ -242,7 +244,7 @@ def dutch_absolute_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     dashed, slashed, iso = F.date_format("d", "dd-MM-yyyy"), F.date_format("d", "dd/MM/yyyy"), F.date_format("d", "yyyy-MM-dd")
     kind = F.col("id") % 4
     text = F.when(kind == 0, F.concat_ws(" ", F.lit("op"), day, month, y)).when(kind == 1, dashed).when(kind == 2, slashed).otherwise(iso)
-    rows = orders.where(F.year("d").between(2010, 2019))
+    rows = spread(orders.where(F.year("d").between(2010, 2019)))
     found = D.date_references(F.concat(F.lit("Feest "), text, F.lit(" hier")), F.date_sub("d", 40))
     return rows.select("id", F.explode(found["refdates"]).alias("refdate"))
 

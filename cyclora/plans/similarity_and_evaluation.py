@@ -12,12 +12,13 @@ from cyclora.operators import corpus, events, ranking
 from cyclora.operators import evaluate as E
 from cyclora.plans.registry import query
 from cyclora.plans.standins import keyed_events, sparse_terms, table
+from cyclora.sources.shared import spread
 
 # turns of conversations stand for events of one date
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
+    return spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
 
 
 def _turn_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +49,10 @@ def same_date_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.7, keys).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query(_TURN_COSINES.replace("a.conv_id = b.conv_id AND ", "") + "SELECT a, b, round(cosine, 6) AS cosine FROM s WHERE cosine > 0.4")
+@query(_TURN_COSINES.replace("a.conv_id = b.conv_id AND ", "") + "SELECT a, b, round(cosine, 6) AS cosine FROM s WHERE cosine > 0.7")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of any conversation."""
-    return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.4).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.7).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query()

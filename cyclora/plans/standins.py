@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.sources.shared import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,4 +38,4 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, tokens) of documents."""
     from cyclora.functions.text import terms
 
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), terms(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), terms(F.col("text")).alias("tokens"))

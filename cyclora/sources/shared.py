@@ -1,15 +1,43 @@
-"""The folder that driver and executors share."""
+"""What operators share: the folder of driver and executors, and the state of scans."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as on a single machine."""
+    """The folder that driver and executors share, for checkpoints.
+
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a
+    single machine, as in tests) a temporary one is made.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cyclora-"))
     return context.getCheckpointDir()
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether a table is read as it is, with nothing but filters and columns computed from a row."""
+    nodes = [df._jdf.queryExecution().sparkPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if not (name in ("Project", "Filter", "ColumnarToRow", "LocalTableScan") or name.startswith("Scan ")):
+            return False
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan of fewer partitions than there are cores to all cores, before costly work on each row.
+
+    A large table has more partitions than that and is left as it is, so it
+    isn't shuffled; one small file of one row group isn't left to one core.
+    """
+    if not is_scan(df):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
