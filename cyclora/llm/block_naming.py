@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.sources.shared import spread
+
 from .common import ROW, SPACE, checkpoint, numbered, settled, table
 
 #: Code points in a block.
@@ -50,7 +52,7 @@ def name_texts(
     normalised texts are equal, whatever ``digest`` is.
     """
     blocks = (
-        numbered(settled(docs))
+        spread(numbered(settled(docs)).select(ROW, "doc_id", "text"))
         .select(ROW, "doc_id", normalised().alias("text"))
         .withColumn("n_blocks", F.greatest(F.ceil(F.length("text") / block), F.lit(1)).cast("int"))
         .withColumn("sha", F.unhex(F.sha2("text", 256)))

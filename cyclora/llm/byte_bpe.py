@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.sources.shared import spread
+
 from .common import table
 
 #: Pieces of text whose ids a worker remembers at most; beyond that it starts afresh.
@@ -162,6 +164,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, digests: bool = Fa
     )
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in kinds]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    rows = spread(rows)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     types = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}

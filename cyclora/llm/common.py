@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclora.sources.shared import shared_folder
+from cyclora.sources.shared import is_scan, shared_folder
 
 #: A word is a maximal run of characters other than space and U+0009..U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -46,14 +46,7 @@ def settled(df: DataFrame) -> DataFrame:
     Rows after a shuffle may come in another order when they are computed
     again, or when fewer columns are asked for.
     """
-    nodes = [df._jdf.queryExecution().sparkPlan()]
-    while nodes:
-        node = nodes.pop()
-        name = node.nodeName()
-        if not (name in ("Project", "Filter", "ColumnarToRow", "LocalTableScan") or name.startswith("Scan ")):
-            return stored(df)
-        nodes += [node.children().apply(i) for i in range(node.children().size())]
-    return df
+    return df if is_scan(df) else stored(df)
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.sources.shared import spread
+
 from . import text_stats as S
 from .common import table
 from .labels import held_out, labelled_sample
@@ -221,6 +223,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     keep = [c for c in keep if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("__text"))
+    rows = spread(rows)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.sources.shared import spread
+
 from .common import BROADCAST_ROWS, ROW, SPACE, checkpoint, numbered, small_or_shuffled, table
 
 KINDS = ["email", "ip", "card", "phone", "learned"]
@@ -95,7 +97,7 @@ def _matches(text: Column, pattern: str, mark: str, valid: Callable[[Column], Co
 def spans(docs: DataFrame) -> DataFrame:
     """Row number, doc_id, base spans (start, kind, end) and possible identifiers of each row of ``docs``."""
     text = F.col("__text")
-    rows = numbered(docs).select(ROW, "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    rows = spread(numbered(docs).select(ROW, "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text")))
     found = rows.select(
         ROW,
         "doc_id",

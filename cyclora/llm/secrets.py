@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cyclora.sources.shared import spread
+
 from .common import checkpoint, table
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -143,6 +145,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> tuple[list[tuple
 
 def _spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    rows = spread(rows)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     pairs, numbers = pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())
     types = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string()}
