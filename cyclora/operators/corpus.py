@@ -41,7 +41,12 @@ def inverted_index(items: DataFrame) -> DataFrame:
 
 
 def tfidf(items: DataFrame) -> DataFrame:
-    """id, term, tf, weight of (id, tokens): tf * (ln((1 + N) / (1 + df)) + 1), rows of unit length."""
+    """id, term, tf, weight of (id, tokens): tf * (ln((1 + N) / (1 + df)) + 1), rows of unit length.
+
+    Texts move once, to their id; counts within a text and its length then
+    need no other shuffle than that of document frequencies.
+    """
+    items = items.repartition("id")
     n = items.agg(F.count(F.lit(1)).alias("__docs"))
     tf = items.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
