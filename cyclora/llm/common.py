@@ -61,8 +61,3 @@ def numbered(df: DataFrame) -> DataFrame:
     if not spark.conf.get(_CORES, None):
         spark.conf.set(_CORES, spark.sparkContext.defaultParallelism)
     return df.withColumn(ROW, F.monotonically_increasing_id())
-
-
-def small_or_shuffled(df: DataFrame, n_rows: int) -> DataFrame:
-    """Mark a side for broadcast when its counted rows are few, leave it to a shuffle otherwise."""
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cyclora.sources.shared import spread
 
-from .common import BROADCAST_ROWS, ROW, SPACE, checkpoint, numbered, small_or_shuffled, table
+from .common import BROADCAST_ROWS, ROW, SPACE, checkpoint, numbered, table
 
 KINDS = ["email", "ip", "card", "phone", "learned"]
 
@@ -140,12 +140,15 @@ def _occurrences(found: DataFrame) -> DataFrame:
 def _seen(docs: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
     """How often the words of each pattern stand in the corpus, identifiers after them or not."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), SPACE, -1), lambda w: w != "")
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    every = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("words"))
-    wanted = small_or_shuffled(patterns.select("words").distinct(), n)
+    first, second = F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1)
+    pairs = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.arrays_zip(first.alias("a"), second.alias("b"))).alias("p"))
+    every = pairs.select(F.xxhash64("p.a", "p.b").alias("pair"))
+    two = F.split("words", " ")
+    wanted = patterns.select("words").distinct().withColumn("pair", F.xxhash64(two[0], two[1]))
+    count = F.count(F.lit(1)).alias("n_seen")
     if n > BROADCAST_ROWS:  # the join shuffles: frequent pairs are counted before it
-        return every.groupBy("words").agg(F.count(F.lit(1)).alias("n_seen")).join(wanted, "words", "left_semi")
-    return every.join(wanted, "words", "left_semi").groupBy("words").agg(F.count(F.lit(1)).alias("n_seen"))
+        return every.groupBy("pair").agg(count).join(wanted, "pair").select("words", "n_seen")
+    return every.join(F.broadcast(wanted), "pair").groupBy("words").agg(count)
 
 
 def learn(docs: DataFrame, found: DataFrame) -> DataFrame | None:

@@ -464,3 +464,14 @@ def test_split_characters_come_back():
     ids = encoder.ids(text)
     assert any(len(tokens[i]) < len(text[0].encode()) for i in ids[:2])
     assert byte_bpe.decode(ids, tokens).decode() == text
+
+
+def test_patterns_are_counted_in_the_corpus(spark):
+    rng = random.Random(12)
+    rows = [(i, " \n".join(rng.choice(["My", "phone:", "is", "ß", "at"]) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(99, None)]
+    docs = docs_of(spark, rows)
+    want = collections.Counter(" ".join(p) for _, t in rows for p in zip((t or "").lower().split(), (t or "").lower().split()[1:]))
+    patterns = spark.createDataFrame([("my phone:",), ("my phone:",), ("ß at",), ("not there",)], "words string")
+    for n in (3, personal_data.BROADCAST_ROWS + 1):
+        got = {r["words"]: r["n_seen"] for r in personal_data._seen(docs, patterns, n).collect()}
+        assert got == {w: want[w] for w in ("my phone:", "ß at")}
