@@ -3,10 +3,12 @@
 Strings without white space that could be keys are taken apart by the encoding
 that their characters suggest. Each is tested for a uniform alphabet
 (chi-squared), for runs above and below the middle of the alphabet, and for
-serial correlation. What looks random under all three is then held against
-chance: the p-value that a string written by people (letters drawn as in
-prose) would look so evenly spread, with false discoveries controlled over all
-candidates of similar length (Benjamini-Hochberg by classes of length).
+serial correlation. What none of the three rejects is then held against
+chance: the p-value that a string written by people (letters as often as in
+prose, few changes between cases and digits) of the same alphabet and no
+greater length would look as random, by Fisher's sum over the three and by how
+often its neighbouring characters are of different classes, with false discoveries controlled over all candidates of similar length
+(Benjamini-Hochberg by classes of length).
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -101,25 +104,92 @@ def battery(token: str, letters: str) -> tuple[float, float, float]:
     return p_chi, p_runs, p_serial
 
 
-#: Share of neighbouring characters of different classes in strings that people write, at most.
+#: Strings that people write, as a null: letters come as often as in prose, and neighbouring characters are of different
+#: classes (lower case, upper case, digits, others) with this probability.
 _PROSE_CHANGE = 0.15
+_PROSE = dict(
+    zip("etaoinshrdlcumwfgypbvkjxqz", [127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1], strict=True)
+)
+#: Lengths at which the null is drawn (a string is held against the greatest that isn't longer), and strings drawn by each proposal.
+_LENGTHS = [20, 22, 24, 26, 28, 30, 32, 36, 40, 44, 48, 56, 64]
+_DRAWN, _MIXED = 2000, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
 
-def written_by_hand(token: str) -> float:
-    """p-value (a bound of Chernoff's) that a string put together from words and numbers changes class so often.
+def _kind(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
-    Classes are lower case, upper case, digits and the rest. In prose, names
-    and paths they change at no more than about every seventh character.
-    """
-    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in token.rstrip("=")]
+
+def class_changes(token: str) -> float:
+    """Logarithm of Chernoff's bound that neighbours in a string that people write are so often of different classes."""
+    kinds = [_kind(c) for c in token.rstrip("=")]
     n = len(kinds) - 1
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    q = changes / n if n else 0.0
+    q = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n if n else 0.0
     p = _PROSE_CHANGE
     if q <= p:
-        return 1.0
-    kl = q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0)
-    return math.exp(-n * kl)
+        return 0.0
+    return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
+
+
+def evidence(token: str, p: tuple[float, ...]) -> float:
+    """Fisher's sum over the three tests, less for many changes of class: small for strings that look random."""
+    return class_changes(token) - sum(math.log(max(x, 1e-300)) for x in p)
+
+
+def _chain(letters: str) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the first character, and of each after each, in strings of ``letters`` that people write."""
+    kind = np.array([_kind(c) for c in letters])
+    weight = np.array([float(_PROSE.get(c.lower(), 1)) for c in letters])
+    share = np.array([weight[kind == x].sum() for x in kind])
+    each = weight / share  # within its class
+    n_other = len(set(kind)) - 1
+    change = _PROSE_CHANGE if n_other else 0.0
+    same = kind[:, None] == kind[None, :]
+    after = np.where(same, 1 - change, change / max(n_other, 1)) * each[None, :]
+    first = each * (kind < 2)
+    return first / first.sum(), after
+
+
+@lru_cache(maxsize=None)
+def _prose_null(name: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of strings of length n that people write, in order, and the logarithm to base 10 of its lower tail.
+
+    Strings are drawn from mixtures of the null with even characters and
+    weighted back (importance sampling), so that tails far below one over the
+    number of strings are known. Seeds are fixed: results don't hang on chance.
+    """
+    letters = ENCODINGS[name]
+    k = len(letters)
+    first, after = _chain(letters)
+    rng = np.random.default_rng(n)
+    drawn = []
+    for mix in _MIXED:
+        start, step = (1 - mix) * first + mix / k, ((1 - mix) * after + mix / k).cumsum(axis=1)
+        x = np.empty((_DRAWN, n), dtype=np.int64)
+        x[:, 0] = np.minimum((start.cumsum()[None, :] < rng.random((_DRAWN, 1))).sum(axis=1), k - 1)
+        for i in range(1, n):
+            x[:, i] = np.minimum((step[x[:, i - 1]] < rng.random((_DRAWN, 1))).sum(axis=1), k - 1)
+        drawn.append(x)
+    x = np.concatenate(drawn)
+    with np.errstate(divide="ignore"):
+        logs = [
+            np.log((1 - m) * first + m / k)[x[:, 0]] + np.log((1 - m) * after + m / k)[x[:, :-1], x[:, 1:]].sum(axis=1) for m in _MIXED
+        ]
+    weights = np.exp(logs[0] - np.logaddexp.reduce(logs, axis=0) + math.log(len(_MIXED)))
+    tokens = ["".join(letters[i] for i in row) for row in x]
+    values = np.array([evidence(t, battery(t, letters)) for t in tokens])
+    order = np.argsort(values, kind="stable")
+    tail = np.minimum(np.cumsum(weights[order]) / len(x), 1.0)
+    return values[order], np.log10(np.maximum(tail, 1e-300))
+
+
+def written_by_hand(token: str, name: str, p: tuple[float, ...]) -> float:
+    """Logarithm to base 10 of the p-value that a string people write looks at least as random (``p``: the three tests)."""
+    n = len(token.rstrip("="))
+    size = _LENGTHS[bisect_right(_LENGTHS, n) - 1] if n >= _LENGTHS[0] else _LENGTHS[0]
+    values, tail = _prose_null(name, size)
+    # the next greater value drawn, so that the tail is not understated
+    at = int(np.searchsorted(values, evidence(token, p)))
+    return float(tail[at]) if at < len(tail) else 0.0
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
@@ -137,9 +207,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> tuple[list[tuple
             continue
         size = len(token).bit_length()
         tried.append(size)
-        p = written_by_hand(token)
-        if p <= 0.05 and (name := encoding(token)) and min(battery(token, ENCODINGS[name])) >= REJECT:
-            found.append((m.start(), m.end(), size, int(-math.log10(max(p, 1e-300)) * STEPS)))
+        if (name := encoding(token)) and min(p := battery(token, ENCODINGS[name])) >= REJECT:
+            found.append((m.start(), m.end(), size, int(-written_by_hand(token, name, p) * STEPS)))
     return found, tried
 
 

@@ -205,6 +205,18 @@ def test_battery_rejects_prose_and_order():
     assert min(secrets.battery("thethethethethethethethethethe", letters)) < 0.001
 
 
+def test_random_strings_of_few_classes_are_found(spark):
+    rng = random.Random(8)
+    words = "house river green account user value common export parser memory letter window travel answer simple number person people".split()
+    hand = [lambda: "".join(rng.choices(words, k=6)), lambda: "".join(rng.choices(words, k=6)).upper(), lambda: "_".join(rng.choices(words, k=5))]
+    rows = [(i, "".join(rng.choices(secrets.ENCODINGS["base32"], k=32))) for i in range(200)]
+    rows += [(1000 + i, "".join(rng.choices(secrets.ENCODINGS["base36"], k=32))) for i in range(200)]
+    rows += [(2000 + i, hand[i % 3]()) for i in range(300)]
+    got = secrets.scan(docs_of(spark, rows), ["doc_id"]).where("n_random > 0").collect()
+    n = collections.Counter(r["doc_id"] // 1000 for r in got)
+    assert n[0] >= 100 and n[1] >= 150 and n[2] <= 6
+
+
 def luhn(digits):
     return sum((2 * int(c) - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
