@@ -5,7 +5,8 @@ graph joins patterns to the identifiers (instances) that stand after them.
 Instances and patterns are scored in turn from the seeds. Patterns that are
 held by several seeds, that hardly any other kind of string follows, and that
 in the whole corpus are hardly ever without an identifier, discover further
-identifiers that no base pattern finds. DataFrame functions only.
+identifiers that no base pattern finds. Those are seeds of the next scoring,
+until nothing new comes. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -151,38 +152,73 @@ def _seen(docs: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
     return every.join(F.broadcast(wanted), "pair").groupBy("words").agg(count)
 
 
+def _bootstrap(graph: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns (kind, words) that enough seeds hold, and those of them that are trusted, when nothing new comes.
+
+    ``graph`` has kind, words and value, ``seeds`` kind and value. What a
+    trusted pattern holds counts as a seed for all patterns from then on, so
+    a pattern once trusted stays so. Each turn adds a seed or is the last one.
+    """
+    pattern = ["kind", "words"]
+    while True:
+        marked = graph.join(seeds.withColumn("seed", F.lit(1.0)), ["kind", "value"], "left").withColumn("seed", F.coalesce("seed", F.lit(0.0)))
+        marked = checkpoint(marked)
+        held = marked.groupBy(*pattern).agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= SEEDS).select(*pattern)
+        held = checkpoint(held)
+        if held.isEmpty():
+            return held, held
+        part = checkpoint(marked.join(held, pattern, "left_semi"))
+        scores = part.groupBy("kind", "value").agg(F.max("seed").alias("score"), F.max("seed").alias("seed"))
+        for _ in range(ROUNDS):
+            patterns = part.drop("seed").join(scores, ["kind", "value"]).groupBy(*pattern).agg(F.avg("score").alias("trust"))
+            instances = part.drop("seed").join(patterns, pattern).groupBy("kind", "value").agg(
+                (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("by_pattern")
+            )
+            scores = checkpoint(
+                scores.join(instances, ["kind", "value"]).select(
+                    "kind", "value", F.greatest("seed", "by_pattern").alias("score"), "seed"
+                )
+            )
+        patterns = part.drop("seed").join(scores, ["kind", "value"]).groupBy(*pattern).agg(F.avg("score").alias("trust"))
+        trusted = checkpoint(patterns.where(F.col("trust") >= CONFIDENCE).select(*pattern))
+        new = checkpoint(part.where("seed = 0").join(trusted, pattern, "left_semi").select("kind", "value").distinct())
+        if new.isEmpty():
+            return held, trusted
+        seeds = checkpoint(seeds.unionByName(new))
+
+
 def learn(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """Identifiers (row number, start, end) that trusted patterns discover; None if no pattern does."""
     occurrences = checkpoint(_occurrences(found))
     pattern = ["kind", "words"]
-    edges = occurrences.groupBy(*pattern, "value").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.count(F.lit(1)).alias("n"))
-    held = edges.groupBy(*pattern).agg(
-        F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("values"), F.sum("n").alias("n_followed")
+    edges = occurrences.groupBy(*pattern, "value").agg(
+        F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("seed")).alias("n_free")
     )
-    # only these can discover anything
-    held = checkpoint(held.where((F.col("seeds") >= SEEDS) & (F.col("seeds") < F.col("values"))))
-    n = held.count()
-    if not n:
+    edges = checkpoint(edges)
+    seeds = checkpoint(edges.where("seed").select("kind", "value").distinct())
+    # patterns with fewer values never have the seeds, and where all is base spans, there is nothing to discover or to seed
+    able = edges.groupBy(*pattern).agg(
+        F.count(F.lit(1)).alias("values"), F.sum("n").alias("n_followed"), F.sum("n_free").alias("free")
+    )
+    able = checkpoint(able.where((F.col("values") >= SEEDS) & (F.col("free") > 0)).select(*pattern, "n_followed"))
+    graph = checkpoint(edges.select(*pattern, "value").join(able, pattern, "left_semi"))
+    if graph.isEmpty():
+        return None
+    seeds = checkpoint(seeds.join(graph, ["kind", "value"], "left_semi"))
+    if graph.count() <= BROADCAST_ROWS:  # rounds over a small graph needn't shuffle
+        graph, seeds = checkpoint(graph.coalesce(1)), checkpoint(seeds.coalesce(1))
+    # more patterns only raise scores, so what isn't held here, never is: its words needn't be counted
+    held, trusted = _bootstrap(graph, seeds)
+    if trusted.isEmpty():
         return None
+    held = checkpoint(able.join(held, pattern))
+    n = held.count()
     seen = checkpoint(_seen(docs, held, n))
-    known = held.join(seen, "words").where(F.col("n_followed") >= SPECIFIC * F.col("n_seen"))
-    graph = checkpoint(edges.join(known.select(*pattern), pattern))
-    scores = graph.select("kind", "value", F.col("seed").alias("score")).distinct()
-    scores = scores.groupBy("kind", "value").agg(F.max("score").alias("score"), F.max("score").alias("seed"))
-    for _ in range(ROUNDS):
-        patterns = (
-            graph.drop("seed").join(scores, ["kind", "value"]).groupBy(*pattern).agg(F.avg("score").alias("trust"))
-        )
-        instances = graph.drop("seed").join(patterns, pattern).groupBy("kind", "value").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("by_pattern")
-        )
-        scores = checkpoint(
-            scores.join(instances, ["kind", "value"]).select(
-                "kind", "value", F.greatest("seed", "by_pattern").alias("score"), "seed"
-            )
-        )
-    patterns = graph.drop("seed").join(scores, ["kind", "value"]).groupBy(*pattern).agg(F.avg("score").alias("trust"))
-    trusted = checkpoint(patterns.where(F.col("trust") >= CONFIDENCE).select(*pattern))
+    known = checkpoint(held.join(seen, "words").where(F.col("n_followed") >= SPECIFIC * F.col("n_seen")).select(*pattern))
+    if known.isEmpty():
+        return None
+    specific = graph.join(F.broadcast(known) if n <= BROADCAST_ROWS else known, pattern, "left_semi")
+    _, trusted = _bootstrap(checkpoint(specific), seeds)
     new = occurrences.where(~F.col("seed")).join(trusted, pattern, "left_semi").select(ROW, "start", "end").distinct()
     return checkpoint(new)
 

@@ -259,6 +259,21 @@ def test_personal_contexts_are_learnt(spark):
     assert not any(got[200 + i]["spans"] for i in range(30))
 
 
+def test_personal_contexts_are_learnt_from_learned_ones(spark):
+    rows = [(i, f"so he said, my phone: +1 (555) 555-{1000 + i} and left") for i in range(30)]
+    rows += [(100 + i, f"well, my phone: 777{1000 + i} if you like") for i in range(3)]
+    rows += [(200 + i, f"just ring me: 777{1000 + i} or not") for i in range(3)]  # only learned ones
+    rows += [(300, "just ring me: 8889999 or not")]
+    rows += [(400 + i, f"then try desk: 888999{i} at ten") for i in (9, 8)] + [(500, "then try desk: +1 (555) 555-1001 at ten")]
+    rows += [(600 + i, f"at home: +1 555 555 {2000 + i} now") for i in range(3)]  # all values are seeds
+    rows += [(700 + i, f"at home: 1555555{2000 + i} now") for i in range(3)]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.find(docs_of(spark, rows)).collect()}
+    assert all(got[100 + i] == "learned:16:23" for i in range(3))
+    assert all(got[200 + i] == got[300] == "learned:14:21" for i in range(3))
+    assert all(got[700 + i] == "learned:9:20" for i in range(3))
+    assert got[408] == got[409] == ""  # two seeds are too few
+
+
 # deduplication
 
 
