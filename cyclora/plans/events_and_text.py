@@ -174,6 +174,28 @@ def ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.groupBy("ngram").agg(F.round(F.first("commonness"), 6).alias("commonness"), F.count(F.lit(1)).alias("n"))
 
 
+def _document_commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All n-grams of benchmark items stand for anchors, whole documents for the corpus."""
+    items = table(spark, sf_dir, "benchmark").select(F.explode(T.ngrams(T.terms(F.col("text")), 5)).alias("ngram"))
+    return corpus.commonness(items, document_tokens(spark, sf_dir).select("tokens"))
+
+
+@query()
+def document_ngram_1_5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.ngram_counts(document_tokens(spark, sf_dir).select("tokens"), 5, 3).select("ngram", "n", "n_total")
+
+
+@query()
+def document_ngram_commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _document_commonness(spark, sf_dir).withColumn("commonness", F.round("commonness", 6))
+
+
+@query()
+def document_ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = corpus.link(document_tokens(spark, sf_dir), _document_commonness(spark, sf_dir))
+    return linked.groupBy("ngram").agg(F.round(F.first("commonness"), 6).alias("commonness"), F.count(F.lit(1)).alias("n"))
+
+
 @query(
     r"""WITH c AS (
   SELECT conv_id, turn, generate_subscripts(parts, 1) AS i, trim(unnest(parts)) AS chunk FROM (
