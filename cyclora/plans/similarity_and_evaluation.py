@@ -193,7 +193,7 @@ def doc_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heaviest terms and pairs of words of each benchmark item without overlap, in the order of the text."""
     items = table(spark, sf_dir, "benchmark").select("item_id", T.terms(F.col("text")).alias("t"), F.lower("text").alias("text"))
-    grams = F.array_distinct(F.slice(T.ngrams(F.col("t"), 2), 1, 40))
+    grams = F.array_distinct(T.ngrams(F.col("t"), 2))
     scored = F.transform(grams, lambda g: F.struct(g.alias("term"), F.floor(F.length(g) / 5).cast("double").alias("score")))
     kept = F.transform(T.resolve_overlap(scored), lambda e: e["term"])
     ordered = events.order_by_position(items.select("item_id", kept.alias("entities"), F.array("text").alias("texts")))

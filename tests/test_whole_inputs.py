@@ -35,3 +35,10 @@ def test_ngrams_of_documents(spark, written):
     assert got == {g: (n, seen[g]) for g, n in anchors.items() if g in seen} and "seven eight nine" in got
     got = {r["ngram"]: r["n"] for r in catalogue.QUERIES["document_ngram_lookup"](spark, d).collect()}
     assert got == {g: seen[g] for g, n in anchors.items() if g in seen and n / seen[g] > 0.05}
+
+
+def test_entities_of_whole_items(spark, written):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    d = written("benchmark", [(1, " ".join(words) + " longerword muchlonger")], "item_id long, text string")
+    got = catalogue.QUERIES["resolved_entities"](spark, d).first()["entities"].split(" | ")
+    assert "longerword muchlonger" in got  # the 121st gram
