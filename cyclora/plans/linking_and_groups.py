@@ -67,9 +67,8 @@ def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("text is not null")
     texts = turns.select(F.col("conv_id").alias("id"), F.col("turn").alias("text_id"), "text")
     words = texts.select("id", F.explode(T.terms(F.col("text"))).alias("word"))
-    heads = F.slice(T.ngrams(F.slice(T.terms(F.col("text")), 1, 6), 2), 1, 11)
     entity = F.struct(F.col("term"), F.length("term").cast("double").alias("score"))
-    found = texts.where("text_id = 0").select("id", F.explode(F.array_distinct(heads)).alias("term")).groupBy("id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    found = texts.select("id", F.explode(T.ngrams(T.terms(F.col("text")), 2)).alias("term")).distinct().groupBy("id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
     got = enrich.enrich(found, texts, words)
     return got.select("id", F.array_join("terms", " | ").alias("terms"), F.round("ratio", 6).alias("ratio"))
 

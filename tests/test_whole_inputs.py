@@ -42,3 +42,10 @@ def test_entities_of_whole_items(spark, written):
     d = written("benchmark", [(1, " ".join(words) + " longerword muchlonger")], "item_id long, text string")
     got = catalogue.QUERIES["resolved_entities"](spark, d).first()["entities"].split(" | ")
     assert "longerword muchlonger" in got  # the 121st gram
+
+
+def test_entities_of_all_turns(spark, written):
+    rows = [("c", 0, "aa bb cc dd ee ff gg hh"), ("c", 1, "zzzzz yyyyy"), ("e", 1, "later turn")]
+    d = written("conversations", rows, "conv_id string, turn int, text string")
+    got = {r["id"]: r["terms"].split(" | ") for r in catalogue.QUERIES["enriched_events"](spark, d).collect()}
+    assert "zzzzz yyyyy" in got["c"] and "gg hh" in got["c"] and got["e"] == ["later turn"]
