@@ -239,14 +239,14 @@ def merge_groups(scored: DataFrame, groups: DataFrame, dates: DataFrame) -> Data
     return score(union, totals.groupBy("term").agg(F.count(F.lit(1)).alias("n_dates")))
 
 
-def predict_calendar(chosen: DataFrame, last: DataFrame, until: Column, threshold: float = 0.25, horizon: int = 400) -> DataFrame:
+def predict_calendar(chosen: DataFrame, last: DataFrame, until: Column, threshold: float = 0.25) -> DataFrame:
     """term, pattern, last_date, date: the pattern's dates after the term's last one and before ``until``.
 
-    Patterns must score above the threshold and have a step of 1 to 6;
-    ``horizon`` is the most dates of one pattern (weekly for over seven years).
+    Patterns must score above the threshold and have a step of 1 to 6.
     """
     rows = chosen.where((F.col("score") > threshold) & F.col("step").between(1, LONGEST_STEP)).join(last.select("term", "last_date"), "term")
-    ahead = _until(F.col("last_date"), until, F.col("step"), F.lit(horizon), with_end=False)
+    most = F.greatest(F.floor(F.datediff(until, F.col("last_date")) / (7 * F.col("step"))), F.lit(0)) + 1  # no pattern is shorter than weekly
+    ahead = _until(F.col("last_date"), until, F.col("step"), most, with_end=False)
     return rows.withColumn("date", F.explode(ahead)).select("term", "pattern", "last_date", "date", "step", "score", "coverage", "consistency")
 
 

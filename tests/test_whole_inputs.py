@@ -1,10 +1,13 @@
 """Queries over whole texts: nothing after the first words, turns or steps is left out."""
 
 import collections
+import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from cyclora.operators import periodic as P
 from cyclora.plans import catalogue
 
 
@@ -49,3 +52,14 @@ def test_entities_of_all_turns(spark, written):
     d = written("conversations", rows, "conv_id string, turn int, text string")
     got = {r["id"]: r["terms"].split(" | ") for r in catalogue.QUERIES["enriched_events"](spark, d).collect()}
     assert "zzzzz yyyyy" in got["c"] and "gg hh" in got["c"] and got["e"] == ["later turn"]
+
+
+def test_weekly_predictions_reach_the_end(spark):
+    first = dt.date(1990, 1, 9)
+    rows = [("w", first + dt.timedelta(days=7 * k)) for k in range(5)]
+    dates = P.term_dates(spark.createDataFrame(rows, "term string, date date"))
+    chosen = P.select(P.score(P.sequences(dates, "week"), dates.groupBy("term").agg(F.count(F.lit(1)).alias("n_dates"))))
+    last = dates.groupBy("term").agg(F.max("date").alias("last_date"))
+    got = sorted(r["date"] for r in P.predict_calendar(chosen, last, F.lit("2003-12-31").cast("date")).collect())
+    want = [rows[-1][1] + dt.timedelta(days=7 * k) for k in range(1, 900)]
+    assert got == [d for d in want if d < dt.date(2003, 12, 31)]
