@@ -63,3 +63,10 @@ def test_weekly_predictions_reach_the_end(spark):
     got = sorted(r["date"] for r in P.predict_calendar(chosen, last, F.lit("2003-12-31").cast("date")).collect())
     want = [rows[-1][1] + dt.timedelta(days=7 * k) for k in range(1, 900)]
     assert got == [d for d in want if d < dt.date(2003, 12, 31)]
+
+
+def test_chunks_with_addresses_stay(spark, written):
+    rows = [("c", 0, "mail a@b.com or reply here"), ("c", 1, "see xhttp://y with @jan at http://z now"), ("d", 0, "plain")]
+    d = written("conversations", rows, "conv_id string, turn int, text string")
+    got = sorted(map(tuple, catalogue.QUERIES["chunk_cleaning"](spark, d).collect()))
+    assert got == [("c", 0, "mail a@b.com or reply here"), ("c", 1, "at"), ("c", 1, "now"), ("c", 1, "see xhttp://y with"), ("d", 0, "plain")]
