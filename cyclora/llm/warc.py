@@ -13,12 +13,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.sources.shared import shared_folder
+
 from .common import ROW, checkpoint, numbered, settled, table
 
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -224,8 +227,6 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
@@ -287,9 +288,12 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives in the cluster's shared folder and read back."""
-    stored = checkpoint(archives(table(spark, sf_dir, "pages")))
-    return read(stored).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page written to archive files in the cluster's shared folder and read back."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    made = write_files(archives(table(spark, sf_dir, "pages")), folder)
+    # without pages there is no folder to read
+    pages = read(spark.createDataFrame([], "content binary")) if made.isEmpty() else read_files(spark, folder)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """
