@@ -10,22 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, for checkpoints.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a
-    single machine, as in tests) a temporary one is made.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    temporary one is made on a single machine, as in tests; on a cluster,
+    whose executors don't see it, that is an error.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cyclora-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="cyclora-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def is_scan(df: DataFrame) -> bool:
     """Whether a table is read as it is, with nothing but filters and columns computed from a row."""
+    return _reads(df, ("Scan ", "LocalTableScan"))
+
+
+def is_parquet_scan(df: DataFrame) -> bool:
+    """Whether a table is read from Parquet files, with nothing but filters and columns computed from a row."""
+    return _reads(df, ("Scan parquet",))
+
+
+def _reads(df: DataFrame, sources: tuple[str, ...]) -> bool:
     nodes = [df._jdf.queryExecution().sparkPlan()]
     while nodes:
         node = nodes.pop()
         name = node.nodeName()
-        if not (name in ("Project", "Filter", "ColumnarToRow", "LocalTableScan") or name.startswith("Scan ")):
+        if not (name in ("Project", "Filter", "ColumnarToRow") or name.startswith(sources)):
             return False
         nodes += [node.children().apply(i) for i in range(node.children().size())]
     return True
