@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cyclora.sources.shared import spread
 
-from .common import ROW, SPACE, checkpoint, numbered, settled, table
+from .common import ROW, SPACE, checkpoint, looked_up, numbered, settled, stored, table
 
 #: Code points in a block.
 BLOCK = 4096
@@ -37,16 +37,15 @@ def _digest(block: Column) -> tuple[Column, Column]:
 
 
 def _named(keys: DataFrame) -> DataFrame:
-    """Give each distinct row an integer name, in sorted order within each partition."""
-    return checkpoint(
-        keys.distinct().sortWithinPartitions(*keys.columns).withColumn("name", F.monotonically_increasing_id())
-    )
+    """Give each distinct row an integer name, in sorted order within each partition, and count its appearances (n)."""
+    counts = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("n"))
+    return checkpoint(counts.sortWithinPartitions(*keys.columns).withColumn("name", F.monotonically_increasing_id()))
 
 
 def name_texts(
     docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], tuple[Column, Column]] = _digest
 ) -> DataFrame:
-    """One row (row number, doc_id, sha (binary SHA-256 of the normalised text), n_blocks, name) for each row of ``docs``.
+    """One row (row identity, doc_id, sha (binary SHA-256 of the normalised text), n_blocks, name) for each row of ``docs``.
 
     Two rows have the same ``n_blocks`` and ``name`` if and only if their
     normalised texts are equal, whatever ``digest`` is.
@@ -62,22 +61,20 @@ def name_texts(
         .drop("text")
     )
     h1, h2 = digest(F.col("block"))
-    blocks = blocks.withColumns({"h1": h1, "h2": h2})
+    blocks = stored(blocks.withColumns({"h1": h1, "h2": h2}))  # read twice: for the names, and to take them
     hashed = ["h1", "h2"]
 
-    dictionary = checkpoint(
-        blocks.select(*hashed, "block")
-        .distinct()
-        .sortWithinPartitions(*hashed, "block")
-        .select(*hashed, F.monotonically_increasing_id().alias("name"))
-    )
+    dictionary = _named(blocks.select(*hashed, "block")).drop("block")
     ambiguous = checkpoint(dictionary.groupBy(*hashed).count().where("count > 1").select(*hashed))
-    state = blocks.drop("block").join(dictionary, hashed)
-    if not ambiguous.isEmpty():
-        state = state.join(ambiguous, hashed, "left_anti")
+    clear, state = dictionary, blocks.drop("block")
+    doubtful = not ambiguous.isEmpty()
+    if doubtful:
+        clear, state = (x.join(ambiguous, hashed, "left_anti") for x in (clear, state))
+    state = looked_up(state, clear, hashed, "n")
+    if doubtful:
         unclear = blocks.join(ambiguous, hashed, "left_semi")
         by_block = _named(unclear.select("block")).withColumn("name", -1 - F.col("name"))
-        state = state.unionByName(unclear.join(by_block, "block").drop("block"))
+        state = state.unionByName(looked_up(unclear, by_block, ["block"], "n").drop("block"))
     state = checkpoint(state.select(ROW, "doc_id", "sha", "n_blocks", F.col("n_blocks").alias("width"), "i", "name"))
 
     widest = state.agg(F.max("width")).first()[0] or 1
@@ -97,7 +94,7 @@ def name_texts(
         )
         names = _named(pairs.select("left", "right"))
         state = checkpoint(
-            pairs.join(names, ["left", "right"]).select(
+            looked_up(pairs, names, ["left", "right"], "n").select(
                 ROW, "doc_id", "sha", "n_blocks", F.expr("cast((width + 1) div 2 as int)").alias("width"), F.col("half").alias("i"), "name"
             )
         )
@@ -110,23 +107,25 @@ def name_texts(
 
 
 def find_copies(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], tuple[Column, Column]] = _digest) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): row number, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of ``docs`` (doc_id, text): row identity, doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty, and empty texts are copies of each other. Of
     equal texts the row with the smallest doc_id stays (``kept``), and
     ``keep_id`` is its doc_id; null is larger than any doc_id. Where that
-    doc_id is repeated, its first row stays. An empty table gives no rows;
-    further columns are ignored.
+    doc_id is repeated, one of its rows stays, the same one each time. A text
+    of any length is cut into as many blocks as it takes. An empty table gives
+    no rows; further columns are ignored.
     """
     named = name_texts(docs, block, digest)
     key = ["n_blocks", "name"]
     groups = checkpoint(
         named.groupBy(*key).agg(
             F.count(F.lit(1)).alias("group_size"),
+            F.count(F.lit(1)).alias("n"),
             F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))).alias("first"),
         )
     )
-    return named.join(groups, key).select(
+    return looked_up(named, groups, key, "n").select(
         ROW,
         "doc_id",
         F.col("first.id").alias("keep_id"),

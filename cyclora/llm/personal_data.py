@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cyclora.sources.shared import spread
 
-from .common import BROADCAST_ROWS, ROW, SPACE, checkpoint, numbered, table
+from .common import BROADCAST_ROWS, ROW, SPACE, checkpoint, table
 
 KINDS = ["email", "ip", "card", "phone", "learned"]
 
@@ -98,7 +98,8 @@ def _matches(text: Column, pattern: str, mark: str, valid: Callable[[Column], Co
 def spans(docs: DataFrame) -> DataFrame:
     """Row number, doc_id, base spans (start, kind, end) and possible identifiers of each row of ``docs``."""
     text = F.col("__text")
-    rows = spread(numbered(docs).select(ROW, "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text")))
+    row = F.monotonically_increasing_id().alias(ROW)  # kept with the spans
+    rows = spread(docs.select(row, "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text")))
     found = rows.select(
         ROW,
         "doc_id",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cyclora.operators.order import running_sums
 
-from .common import ROW, numbered, table
+from .common import ROW, table
 
 #: Bytes that a row counts beside its text.
 ROW_BYTES = 16
@@ -34,9 +34,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int) -> DataFrame:
     within the shard), grown_shard (null: it belongs to another law).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = numbered(docs).select(
+    rows = docs.select(
         "doc_id",
-        ROW,
+        F.monotonically_increasing_id().alias(ROW),  # used within one job, whose result is kept
         (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("__text"),

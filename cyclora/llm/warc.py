@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cyclora.sources.shared import shared_folder
 
-from .common import ROW, checkpoint, numbered, settled, table
+from .common import BROADCAST_ROWS, ROW, checkpoint, looked_up, numbered, settled, table
 
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 #: An archive is closed when its payloads have this many bytes or it has this many records.
@@ -180,8 +180,8 @@ def archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
     The payload is the html in UTF-8, a null one empty. Of rows with equal
     payloads of at least ``least`` bytes that with the largest page_id is
     written as a response and the others as revisits of it; smaller payloads
-    are all responses. Where the largest page_id is repeated, the first of its
-    rows is the response; a null page_id is smaller than any other. A null url
+    are all responses. Where the largest page_id is repeated, one of its
+    rows is the response, the same one each time; a null page_id is smaller than any other. A null url
     is left out, control characters in a url are too. An empty table gives no
     archives; further columns are ignored.
     """
@@ -190,10 +190,13 @@ def archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
     keys = rows.select(
         ROW, "page_id", F.sha2("payload", 256).alias("key"), F.length("payload").alias("n")
     ).where(F.col("n") >= least)
-    best = F.max(F.struct(F.col("page_id").isNotNull(), F.col("page_id").alias("id"), (-F.col(ROW)).alias("row")))
-    groups = checkpoint(keys.groupBy("key").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    revisits = keys.join(groups.select("key", "best"), "key").where(F.col(ROW) != -F.col("best.row"))
+    best = F.max(F.struct(F.col("page_id").isNotNull(), F.col("page_id").alias("id"), F.col(ROW).alias("row")))
+    groups = keys.groupBy("key").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
+    groups = checkpoint(groups.where("n > 1").select("key", "best", "n"))
+    revisits = looked_up(keys.drop("n"), groups, ["key"], "n").where(F.col(ROW) != F.col("best.row"))
     revisits = checkpoint(revisits.select(ROW, F.coalesce(F.col("best.id").cast("string"), F.lit("null")).alias("refers_to")))
+    if revisits.count() <= BROADCAST_ROWS:  # the payloads needn't move to meet their marks
+        revisits = F.broadcast(revisits)
     sent = rows.join(revisits, ROW, "left").select(ROW, F.col("page_id").cast("bigint"), "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +210,7 @@ def archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
             for row in zip(*batch.columns, strict=True):
                 number, *rest = (x.as_py() for x in row)
                 if not made:
-                    first = str(number)
+                    first = f"{number['file'] & (1 << 64) - 1:016x}-{number['at']}"
                 made.append(write_record(*rest))
                 size += len(made[-1])
                 if size >= ARCHIVE_BYTES or len(made) >= ARCHIVE_RECORDS:
