@@ -5,7 +5,8 @@ appear, so that the sources' expected shares of the output are the target
 weights. A document's own count is the inverse of the Poisson distribution
 with that mean at a number in [0, 1) hashed from seed and doc_id. Documents
 are repeated by their counts and dealt out in an order hashed from seed,
-doc_id and copy.
+doc_id and copy. Rows whose doc_id is null or repeated have the row's place in
+its file beside it, so that each of them has a number of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, table
+from .common import BROADCAST_ROWS, ROW, checkpoint, numbered, settled, table
 
 #: A larger mean is reached as the sum of independent counts with means of at most this.
 MEAN = 16
@@ -59,6 +60,27 @@ def _cdf(rate: Column) -> Column:
     )
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """Add what tells a row apart: its doc_id, and also its place where that is null or repeated."""
+    rows = numbered(settled(docs))
+    repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    repeated = checkpoint(repeated)
+    name = F.col("doc_id").cast("string")
+    placed = F.concat_ws(" ", F.coalesce(name, F.lit("null")), F.col(f"{ROW}.file").cast("string"), F.col(f"{ROW}.at").cast("string"))
+    if repeated.isEmpty():
+        return rows.withColumn(ROW, F.coalesce(name, placed))
+    # hashes of the ids that are repeated mark rows; two ids that share a hash are no harm
+    hashes = repeated.select(F.xxhash64("doc_id").alias("__h"), "__n").groupBy("__h").agg(F.sum("__n").alias("__n"))
+    rows = rows.withColumn("__h", F.coalesce(F.xxhash64("doc_id"), F.lit(0)))
+    told = hashes.agg(F.count(F.lit(1)).alias("keys")).first()["keys"]
+    if told <= BROADCAST_ROWS:
+        marked = rows.join(F.broadcast(hashes.select("__h", F.lit(True).alias("__again"))), "__h", "left")
+    else:  # many: each id's mark is given to 64 salts, so that a hot one is split
+        salts = hashes.select("__h", F.lit(True).alias("__again"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__salt"))
+        marked = rows.withColumn("__salt", F.pmod(F.hash(ROW), F.lit(64))).join(salts, ["__h", "__salt"], "left").drop("__salt")
+    return marked.withColumn(ROW, F.when(F.col("__again"), placed).otherwise(F.coalesce(name, placed))).drop("__h", "__again")
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
@@ -77,15 +99,17 @@ def mix(
     hashed one) are added and replace columns of those names.
 
     Rows with a null source form a source. A row's count hangs on seed and
-    doc_id alone, so repeated rows and null doc_ids have equal counts. Texts
-    are not looked at; an empty table gives an empty table.
+    doc_id alone where that is the row's own; rows with a null or repeated
+    doc_id, even if they are equal, have counts independent of each other.
+    Texts, of any length, are not looked at; an empty table gives an empty
+    table.
     """
+    names = [c for c in docs.columns if c not in ("rate", "n_copies", "copy", "shuffle_key")]
+    docs = _identified(docs.select(*[F.col(f"`{c}`") for c in names]))
     known = checkpoint(rates(docs, weights, alpha, rows_out))
     parts = F.greatest(F.ceil(F.col("rate") / MEAN), F.lit(1)).cast("int")
     known = known.select("source", "rate", parts.alias("__m")).withColumn("__cdf", _cdf(F.col("rate") / F.col("__m")))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    made = ["rate", "n_copies", "copy", "shuffle_key"]
-    left = docs.drop(*made)
+    doc, left = F.col(ROW), docs
     if known.count() <= BROADCAST_ROWS:
         joined = left.join(F.broadcast(known.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s")))
     else:  # many sources: a shuffle, with each source's row given to 64 salts so that a hot one is split
@@ -98,9 +122,8 @@ def mix(
     n = F.aggregate(draws, F.lit(0), lambda total, u: total + one(u))
     out = joined.withColumn("n_copies", n).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order {seed}"), doc, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    names = [F.col(f"`{c}`") for c in left.columns]
     return (
-        out.select(*names, "rate", "n_copies", "copy", key.alias("shuffle_key"))
+        out.select(*[F.col(f"`{c}`") for c in names], "rate", "n_copies", "copy", key.alias("shuffle_key"))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")
     )
