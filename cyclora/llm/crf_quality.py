@@ -23,10 +23,10 @@ from cyclora.sources.shared import spread
 
 from . import text_stats as S
 from .common import table
-from .labels import held_out, labelled_sample
+from .labels import held_out, labelled_sample, one_each
 
-#: Most labelled documents that the model is fitted on, and most lines of each; scoring takes all lines.
-SAMPLE_ROWS, SAMPLE_LINES = 3000, 1000
+#: Most labelled documents that the model is fitted on, with all their lines.
+SAMPLE_ROWS = 3000
 #: Rounds of fitting and labelling lines anew, and steps of each fit.
 ROUNDS, STEPS = 3, 50
 THRESHOLD = 0.7
@@ -187,22 +187,27 @@ def _log_odds(q: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents that are not held out; good ones have ``quality`` 1."""
+    """Fit on all lines of at most ``rows`` labelled documents that are not held out; good ones have ``quality`` 1.
+
+    Of a repeated doc_id with different texts always the same one is taken,
+    so two runs give one model. Null texts and those without a word have no
+    lines and are passed over.
+    """
     sample = labelled_sample(docs, labels, "quality", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [line_features(x.as_py() or b"") for x in batch.column(2)]
-            lines = pa.array([f[:SAMPLE_LINES].tobytes() for f, _ in found], pa.binary())
-            sizes = pa.array([z[:SAMPLE_LINES].tobytes() for _, z in found], pa.binary())
+            lines = pa.array([f.tobytes() for f, _ in found], pa.binary())
+            sizes = pa.array([z.tobytes() for _, z in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], lines, sizes], names=["doc_id", "quality", "lines", "sizes"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     measured = sample.select("doc_id", "quality", F.col("text").cast("binary")).mapInArrow(
         run, f"doc_id {kind}, quality int, lines binary, sizes binary"
     )
-    # a repeated doc_id counts once; the rows are bounded in number and size
-    got = measured.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # a repeated doc_id counts once, so at most `rows` rows of numbers come to the driver
+    got = one_each(measured).toPandas().sort_values("doc_id")
     width = 2 * len(OWN) - 1
     return Model(
         [np.frombuffer(x, np.float32).reshape(-1, width) for x in got["lines"]],
@@ -214,8 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Quality of each row of ``docs`` (text), after the columns in ``keep``, as score and predicted.
 
-    A null text counts as empty; a text without a word has score 0. Only the
-    text is looked at. Each row is scored alone, so repeated rows have equal
+    A null text counts as empty; a text without a word has score 0. A text of
+    any length is one chain of all its lines. Only the text is looked at. Each row is scored alone, so repeated rows have equal
     scores; an empty table gives an empty table. A column of ``keep`` that is
     named score or predicted is replaced. A model that was fitted on rows of
     one label, or on none, gives every text with a word the same score.
