@@ -3,9 +3,10 @@
 The tokenizer is assembled from a file of ranks (base64 bytes and rank per
 line). Every byte is written as one printable character (the byte table), each
 match of the split pattern is encoded alone, and pairs are merged in order of
-the rank of what they make. Decoding looks up each id's bytes and joins them:
-a character whose bytes are spread over several ids comes back whole, since
-bytes are joined before they are decoded.
+the rank of what they make. Decoding reverses the byte table: the characters
+that the tokenizer shows for an id become bytes again, and the bytes of all
+ids are joined before they are decoded, so that a character whose bytes are
+spread over several ids comes back whole.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
-from itertools import chain
+import os
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,9 @@ from cyclora.sources.shared import spread
 
 from .common import table
 
+if TYPE_CHECKING:
+    from tokenizers import Encoding
+
 #: Pieces of text whose ids a worker remembers at most; beyond that it starts afresh.
 REMEMBERED = 600_000
 
@@ -90,39 +96,62 @@ def split_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")
 
 
+class Decoder:
+    """Bytes of ids, by the byte table reversed."""
+
+    def __init__(self, shown: list[str | None]) -> None:
+        back = {ord(c): b for b, c in enumerate(byte_table())}
+        #: The bytes of each id, from the characters that stand for it.
+        self.tokens = [(x or "").translate(back).encode("latin-1") for x in shown]
+
+    def bytes(self, ids: Iterable[int]) -> bytes:
+        """The bytes that ids stand for; characters split between ids are joined again."""
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def text(self, ids: Iterable[int]) -> str:
+        """The text that ids stand for; bytes that are no UTF-8 are replaced."""
+        return self.bytes(ids).decode("utf-8", "replace")
+
+
 class Encoder:
     """Ids and offsets of texts; pieces that come again are looked up."""
 
-    def __init__(self, tokens: list[bytes], spec: str, pattern: str) -> None:
+    def __init__(self, spec: str, pattern: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokens, self.tokenizer = tokens, Tokenizer.from_str(spec)
+        self.tokenizer = Tokenizer.from_str(spec)
+        size = 1 + max(self.tokenizer.get_vocab().values(), default=-1)
+        self.decoder = Decoder([self.tokenizer.id_to_token(i) for i in range(size)])
         self.pieces = regex.compile(split_pattern(pattern)).findall
         self.known: dict[str, tuple] = {}
+        self.digested: dict[str, tuple] = {}
 
-    def learn(self, pieces: list[str], offsets: bool) -> None:
+    def _learn(self, known: dict[str, tuple], pieces: list[str], offsets: bool, made: Callable[[Encoding], tuple]) -> None:
         """Encode the pieces that are not known yet, each separately."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [p for p in dict.fromkeys(pieces) if p not in known]
         run = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
-        for piece, found in zip(new, run(new, add_special_tokens=False), strict=True):
-            self.known[piece] = (found.ids, found.offsets) if offsets else tuple(found.ids)
+        known.update(zip(new, map(made, run(new, add_special_tokens=False)), strict=True))
 
-    def ids(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, and digests of the ids (decimal, joined by spaces) and of the bytes decoded from them."""
+        pieces, known = self.pieces(text), self.digested
+        if not pieces:
+            return 0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest()
         try:
-            found = list(map(self.known.__getitem__, pieces))
+            found = [known[p] for p in pieces]
         except KeyError:
-            self.learn(pieces, False)
-            found = list(map(self.known.__getitem__, pieces))
-        return list(chain.from_iterable(found))
+            self._learn(known, pieces, False, lambda x: (len(x.ids), " ".join(map(str, x.ids)), self.decoder.bytes(x.ids)))
+            found = [known[p] for p in pieces]
+        sizes, told, decoded = zip(*found, strict=True)
+        return sum(sizes), hashlib.sha256(" ".join(told).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
     def ids_and_offsets(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids, and the code points (start, end) of the text that each of them touches."""
         pieces = self.pieces(text)
-        self.learn(pieces, True)
+        self._learn(self.known, pieces, True, lambda x: (x.ids, x.offsets))
         ids: list[int] = []
         starts: list[int] = []
         ends: list[int] = []
@@ -136,9 +165,11 @@ class Encoder:
         return ids, starts, ends
 
 
-def decode(ids: Iterable[int], tokens: list[bytes]) -> bytes:
-    """The bytes that ids stand for; characters split between ids are joined again."""
-    return b"".join(map(tokens.__getitem__, ids))
+@lru_cache(maxsize=1)
+def _encoder(spec: str, pattern: str) -> Encoder:
+    """The encoder of a worker process, which serves its tasks one after the other."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(spec, pattern)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, digests: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -149,14 +180,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, digests: bool = Fa
     (the text from the ids) follow those in ``keep``. With ``digests`` they
     are n_tokens, ids_sha256 and decoded_sha256 instead.
 
-    A null text counts as empty and has no ids. Repeated rows are encoded each
-    on its own, an empty table gives an empty table, and further columns are
+    A null text counts as empty and has no ids. A text of any length is encoded
+    whole. Repeated rows are encoded each on its own, an empty table gives an empty table, and further columns are
     ignored unless ``keep`` names them. A column of ``keep`` that has the name
     of a result is replaced by the result. ``ranks_path`` is read by the
     driver; the vocabulary (a fixed few MB) is broadcast.
     """
-    tokens = read_ranks(ranks_path)
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, tokenizer_json(tokens)))
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(ranks_path)))
     kinds = (
         {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
         if digests
@@ -170,24 +200,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, digests: bool = Fa
     types = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, spec = shared.value
-        encoder = Encoder(tokens, spec, pattern)
-        names = [str(i) for i in range(len(tokens))]
+        encoder = _encoder(shared.value, pattern)
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
-            for text in batch.column(batch.num_columns - 1):
+            for cell in batch.column(batch.num_columns - 1):
+                text = cell.as_py()
                 if digests:
-                    ids = encoder.ids(text.as_py())
-                    out[0].append(len(ids))
-                    out[1].append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    out[2].append(hashlib.sha256(decode(ids, tokens)).hexdigest())
+                    values: tuple = encoder.digests(text)
                 else:
-                    ids, starts, ends = encoder.ids_and_offsets(text.as_py())
-                    for column, value in zip(out, (ids, starts, ends, decode(ids, tokens).decode("utf-8", "replace")), strict=True):
-                        column.append(value)
+                    ids, starts, ends = encoder.ids_and_offsets(text)
+                    values = ids, starts, ends, encoder.decoder.text(ids)
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
             made = [pa.array(v, types[t]) for v, t in zip(out, kinds.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *kinds])
 
