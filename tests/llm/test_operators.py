@@ -72,8 +72,9 @@ def test_mix_counts_are_inverse_poisson(spark, texts):
         assert keys == sorted(keys)
 
 
-def test_mix_edges(spark, texts):
-    docs = clashing(docs_of(spark, texts)).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+def test_mix_edges(spark, texts, tmp_path):
+    clashing(docs_of(spark, texts)).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source"))).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     a, b = (mixing.mix(docs, seed=1, rows_out=2000).select("doc_id", "copy", "shuffle_key") for _ in range(2))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.repartition(5).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
@@ -87,6 +88,16 @@ def test_mix_edges(spark, texts):
         mixing.BROADCAST_ROWS = kept
 
 
+def test_mix_gives_rows_without_an_id_of_their_own_their_own_numbers(spark):
+    rows = [(None, "same")] * 3000 + [(4, "same")] * 2000 + [(10 + i, "x") for i in range(50)]
+    docs = docs_of(spark, rows)
+    got = mixing.mix(docs, alpha=1.0, rows_out=15_150, seed=9)
+    n = collections.Counter(r["doc_id"] for r in got.select("doc_id").collect())
+    for of, before in ((None, 3000), (4, 2000)):  # Poisson: the deviation is the root of the mean
+        assert abs(n[of] - 3 * before) < 5 * math.sqrt(3 * before)
+    assert got.select("shuffle_key").distinct().count() == got.count()
+
+
 # quality
 
 
@@ -137,6 +148,54 @@ def test_crf_marginals_by_enumeration():
     assert np.allclose(got, want) and np.allclose(moves, want_moves) and math.isclose(z, want_z)
 
 
+def test_models_are_the_same_each_time(spark):
+    docs, labels, _ = labelled(spark, 60)
+    again = docs.unionByName(docs_of(spark, [(i, f"another text {i}\n" * (i % 5)) for i in range(60)] + [(3, None)]))
+    crf = [crf_quality.fit(x, labels) for x in (again, again.repartition(7, "text"))]
+    assert np.array_equal(crf[0].weights, crf[1].weights) and np.array_equal(crf[0].move, crf[1].move)
+    rules = [quality_rules.fit(x, labels) for x in (again, again.repartition(7, "text"))]
+    assert rules[0].threshold == rules[1].threshold and np.array_equal(rules[0].forest.split, rules[1].forest.split)
+
+
+def test_quality_is_weighted_by_length():
+    text = b"one two three four five six seven\n***\n\n$$$ ### *** !!! ||| %%%\nten eleven twelve"
+    features, sizes = crf_quality.line_features(text)
+    assert sizes.tolist() == [len(x) for x in text.split(b"\n") if x]
+    model = crf_quality.Model([], [], np.zeros(0, bool))
+    model.weights, model.move = np.linspace(-2, 2, features.shape[1]), np.array([[0.4, -0.2], [-0.3, 0.6]])
+    scores = features @ model.weights
+    total, good = 0.0, np.zeros(len(sizes))
+    for code in range(2 ** len(sizes)):
+        path = [code >> k & 1 for k in range(len(sizes))]
+        w = math.exp(sum(s for s, y in zip(scores, path) if y) + sum(model.move[a, b] for a, b in zip(path, path[1:])))
+        total += w
+        good += w * np.array(path)
+    assert np.allclose(model.qualities([features], [sizes]), (good / total * sizes).sum() / sizes.sum())
+
+
+def test_paths_and_thresholds():
+    rng = np.random.default_rng(3)
+    rows = rng.uniform(0, 0.3, (60, 3))
+    forest = quality_rules.Forest(rows, trees=7, subsample=32)
+
+    def path(tree, row):
+        node, depth = 1, 0
+        while forest.feature[tree, node] >= 0:
+            node = 2 * node + (row[forest.feature[tree, node]] > forest.split[tree, node])
+            depth += 1
+        return forest.path[tree, node]  # the depth with the mean of what is below a leaf of several rows
+
+    c = quality_rules.average_path(32)
+    assert math.isclose(c, 2 * sum(1 / k for k in range(1, 32)) - 2 * 31 / 32, rel_tol=0.02)
+    tried = rng.uniform(0, 1, (20, 3))
+    want = [2 ** (-np.mean([path(t, row) for t in range(7)]) / c) for row in tried]
+    assert np.allclose(forest.scores(tried), want)
+    good, bad = np.array([1.0, 2, 3, 4]), np.array([2.5, 6, 7])
+    assert quality_rules.calibrated(good, bad, 0.5) == 5.0  # between the last good and the next bad
+    assert quality_rules.calibrated(good, np.zeros(0), 0.5) == 2.5
+    assert quality_rules.calibrated(good, np.array([0.5]), 1.0) == 4.0
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -499,11 +558,13 @@ def test_tokens_are_those_of_ranks(spark, texts):
 def test_split_characters_come_back():
     P = pytest.importorskip("public_tokenizers")
     tokens = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
-    encoder = byte_bpe.Encoder(tokens, byte_bpe.tokenizer_json(tokens), P.PATTERN)
+    encoder = byte_bpe.Encoder(byte_bpe.tokenizer_json(tokens), P.PATTERN)
     text = "🤖𝔘 中文"
-    ids = encoder.ids(text)
+    ids = encoder.ids_and_offsets(text)[0]
     assert any(len(tokens[i]) < len(text[0].encode()) for i in ids[:2])
-    assert byte_bpe.decode(ids, tokens).decode() == text
+    assert encoder.decoder.tokens == tokens  # the byte table reversed gives the bytes of the file
+    assert encoder.decoder.text(ids) == text and encoder.decoder.text(ids[:1]) == "\ufffd"
+    assert encoder.digests(text)[2] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_patterns_are_counted_in_the_corpus(spark):
