@@ -42,12 +42,18 @@ def model_texts(spark: SparkSession, path: str) -> DataFrame:
     Wide lines (over 12 columns) have no entities yet. A wide line whose
     column 13 holds a date is left out.
     """
-    rows = _columns(spark, path)
+    return _posts(_columns(spark, path))
+
+
+def _posts(rows: DataFrame) -> DataFrame:
+    """The columns of posts, after those that ``rows`` has beside the split line."""
+    kept = [x for x in rows.columns if x != "c"]
     wide, dated = F.size("c") > 12, F.coalesce(_at(4), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}")
     pick = lambda w, d, p: F.when(wide, _at(w) if w is not None else None).when(dated, _at(d)).otherwise(_at(p) if p is not None else None)
     rows = rows.where(~(wide & F.coalesce(_at(13), F.lit("")).rlike(r"\d[/-]\d")))
     tags = F.transform(_list(pick(None, 7, 8), r" \| "), lambda x: F.struct(F.substring_index(x, ",", 1).alias("word"), F.substring_index(x, ",", -1).alias("tag")))
     out = rows.select(
+        *kept,
         pick(1, 0, 0).alias("id"),
         pick(4, 1, 1).alias("user"),
         F.try_to_date(F.substring(pick(7, 2, 2), 1, 10), "yyyy-MM-dd").alias("date"),
@@ -97,10 +103,22 @@ def names(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
 
 
 def tagged_posts(spark: SparkSession, path: str) -> DataFrame:
-    """written (from the file's name, tagged_YYYYMMDD) and the text of each line that has a TIMEX3 tag."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    """written, id and text of the posts in files of tagged text.
+
+    The day of writing is that of the file's or its folder's name,
+    tagged_YYYYMMDD. Posts stand after the line that starts with #tweet_id and
+    before </TimeML>, id and text parted by a tab; lines of one column go, and
+    a tag around an id is cut off. A file is one row, so it must fit in memory.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n", -1).alias("lines"), F.col("_metadata.file_path").alias("file"))
+    head = F.array_position(F.transform("lines", lambda x: x.startswith("#tweet_id")), F.lit(True))
+    below = files.where(head > 0).select("file", F.slice("lines", head.cast("int") + 1, F.size("lines")).alias("lines"))
+    end = F.array_position(F.transform("lines", lambda x: x.startswith("</TimeML>")), F.lit(True)).cast("int")
+    lines = below.select("file", F.explode(F.when(end > 0, F.slice("lines", 1, end - 1)).otherwise(F.col("lines"))).alias("line"))
+    rows = lines.select("file", F.split(F.trim("line"), "\t", -1).alias("c")).where(F.size("c") > 1)
+    number = F.when(_at(0).contains("TIMEX3"), F.regexp_extract(_at(0), ">([^<>]*)", 1)).otherwise(_at(0))
     written = F.try_to_date(F.regexp_extract("file", r"tagged_(\d{8})", 1), "yyyyMMdd")
-    return rows.where(F.contains("value", F.lit("<TIMEX3"))).select(written.alias("written"), F.col("value").alias("text"))
+    return rows.select(written.alias("written"), number.alias("id"), _at(1).alias("text"))
 
 
 def assessments(spark: SparkSession, path: str, columns: dict[str, int]) -> DataFrame:
@@ -127,10 +145,31 @@ def periodic_report(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    """terms (sorted), pattern, date, score, and coverage and consistency of calendar lines, from exports of predictions.
+
+    The third column is a printed list: the sixth to eighth items are the
+    day that is predicted, the twelfth to fourteenth the three numbers.
+    """
+    rows = _columns(spark, path).where(F.size("c") >= 3).select("c", F.split(F.regexp_replace(_at(2), r"^\[|\]$", ""), ", ", -1).alias("f"))
+    item = lambda k: F.get("f", F.lit(k))
+    number = lambda k: F.regexp_replace(item(k), "[()]", "").try_cast("double")
+    day = F.concat_ws("-", F.right(item(5), F.lit(4)), *[F.lpad(F.regexp_extract(item(k), r"\d+", 0), 2, "0") for k in (6, 7)])
+    return rows.select(
+        F.array_sort(_list(_at(0), ", ")).alias("terms"),
+        _at(1).alias("pattern"),
+        F.try_to_date(day, "yyyy-MM-dd").alias("date"),
+        number(11).alias("score"),
+        number(12).alias("coverage"),
+        number(13).alias("consistency"),
+    ).where("date is not null")
+
+
 def survey_export(spark: SparkSession, path: str) -> DataFrame:
     """Answers (pos, vote) of a survey's third line: columns from the tenth on that are empty or 0 to 3, without the first two and the last."""
     lines = spark.read.text(path, wholetext=True).select(F.get(F.split("value", "\r?\n", -1), F.lit(2)).alias("line"))
-    kept = F.filter(F.slice(F.split("line", ",", -1), 11, 100_000), lambda v: v.isin("", "0", "1", "2", "3"))
+    cells = F.split("line", ",", -1)
+    kept = F.filter(F.slice(cells, 11, F.greatest(F.size(cells), F.lit(0))), lambda v: v.isin("", "0", "1", "2", "3"))
     return lines.select(F.posexplode(F.slice(kept, 3, F.greatest(F.size(kept) - 3, F.lit(0)))).alias("pos", "vote"))
 
 
@@ -164,8 +203,17 @@ def interval_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.size("intervals") >= 2)
 
 
+def _day(file: Column, hourly: bool) -> Column:
+    """The day in a file's name: all but the last 4 characters, or the last 6 if there is a file an hour."""
+    return F.substring(file, F.lit(1), F.length(file) - (6 if hourly else 4))
+
+
 def day_files(spark: SparkSession, path: str, hourly: bool = False) -> DataFrame:
-    """Raw posts with the day that their file's name gives: the name without the last 4 characters, or 6 if there is a file an hour."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    cut = 6 if hourly else 4
-    return rows.select(F.expr(f"substring(file, 1, length(file) - {cut})").alias("day"), "value")
+    """Lines (value) with the day that their file's name gives."""
+    rows = spark.read.text(path)
+    return rows.select(_day(rows.metadataColumn("_metadata")["file_name"], hourly).alias("day"), "value")
+
+
+def day_posts(spark: SparkSession, path: str, hourly: bool = False) -> DataFrame:
+    """Posts with references, as ``model_texts`` reads them, and the day that their file's name gives."""
+    return _posts(day_files(spark, path, hourly).select("day", F.split("value", "\t", -1).alias("c")))

@@ -72,6 +72,14 @@ def predictions(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def prediction_lines(rows: DataFrame, path: str) -> None:
+    """Predictions (terms, pattern, first, date, step, score, coverage, consistency) as terms, pattern and a printed list."""
+    day = lambda c: F.concat_ws(", ", F.concat(F.lit("datetime.datetime("), F.year(c)), F.month(c), F.dayofmonth(c), F.lit("0"), F.lit("0)"))
+    numbers = [F.col(c).cast("string") for c in ("step", "score", "coverage", "consistency")]
+    told = F.concat(F.lit("["), F.concat_ws(", ", day("first"), day("date"), *numbers), F.lit("]"))
+    _lines(rows, [_joined("terms", ", "), F.col("pattern"), told], path, "overwrite")
+
+
 def clusters(members: DataFrame, path: str) -> None:
     """One line for each group of (grp, id, date, entities): id|date|entities, joined by tabs."""
     item = F.concat_ws("|", F.col("id").cast("string"), F.col("date").cast("string"), F.array_join("entities", ", "))

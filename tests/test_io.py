@@ -77,6 +77,21 @@ def test_periodics_report(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "q")).count() == 1
 
 
+def test_predictions_as_lines(spark, tmp_path):
+    schema = "terms array<string>, pattern string, first date, date date, step int, score double, coverage double, consistency double"
+    W.prediction_lines(spark.createDataFrame([(["b", "a c"], "<e,5,v,5,v,v>", DAY, DAY + dt.timedelta(days=300), 1, 0.5, 0.25, 1.0)], schema), str(tmp_path / "p"))
+    assert [tuple(r) for r in R.predictions(spark, str(tmp_path / "p")).collect()] == [(["a c", "b"], "<e,5,v,5,v,v>", DAY + dt.timedelta(days=300), 0.5, 0.25, 1.0)]
+    path = put(tmp_path, "stdev.txt", "a\t7-7\t[datetime.datetime(2014, 3, 3, 0, 0), datetime.datetime(2014, 3, 10, 0, 0), 7, 2.5]", "no prediction")
+    assert [tuple(r) for r in R.predictions(spark, path).collect()] == [(["a"], "7-7", DAY, 2.5, None, None)]
+
+
+def test_posts_of_days(spark, tmp_path):
+    put(tmp_path, "20140310-00.txt", "1\tjan\t2014-03-10\teen tekst\t2014-03-14\tc\te\tde,LID\tvrijdag\tbreda")
+    put(tmp_path, "20140310-01.txt", "2\tbo\t2014-03-10\tt\t2014-03-15", "short")
+    got = R.day_posts(spark, str(tmp_path), hourly=True).orderBy("id").collect()
+    assert [(r["day"], r["id"], r["text"]) for r in got] == [("20140310-", "1", "een tekst"), ("20140310-", "2", "t")]
+
+
 def test_small_readers(spark, tmp_path):
     path = put(tmp_path, "3_grams.txt", "de rode hond\t1\t4\t0.25")
     assert tuple(R.ngram_commonness(spark, path).first()) == ("de rode hond", 1, 4, 0.25)
@@ -84,8 +99,9 @@ def test_small_readers(spark, tmp_path):
     assert [(r["text"], r["anchors"]) for r in R.wiki_pages(spark, path).orderBy("text").collect()] == [("x", ["A"]), ("y", [])]
     (tmp_path / "cities.txt").write_bytes("Breda\n ’s-Hé \n\nbreda\n".replace("’", "'").encode("iso-8859-1"))
     assert sorted(r["name"] for r in R.names(spark, str(tmp_path / "cities.txt"), "iso-8859-1").collect()) == ["'s-hé", "breda"]
-    path = put(tmp_path, "tagged_20140310.txt", "#tweet_id", '1 <TIMEX3 type="DATE" value="2014-03-12">x</TIMEX3>', "</TimeML>")
-    assert [r["written"] for r in R.tagged_posts(spark, path).collect()] == [DAY]
+    tag = '<TIMEX3 type="DATE" value="2014-03-12">x</TIMEX3>'
+    path = put(tmp_path, "tagged_20140310.txt", "0\tnot yet", "#tweet_id\ttext", f"1\tin {tag}", "one column", '<TIMEX3 tid="t1">2</TIMEX3>\tplain', "</TimeML>", "3\ttoo late")
+    assert [tuple(r) for r in R.tagged_posts(spark, path).collect()] == [(DAY, "1", f"in {tag}"), (DAY, "2", "plain")]
     path = put(tmp_path, "judged.tsv", "terms\tassessment\tscore", "a, b\t1.0\t0.5", "c\t0\tx")
     got = R.assessments(spark, path, {"terms": 0, "assessment": 1, "score": 2}).collect()
     assert [(r["terms"], r["correct"], r["score"]) for r in got] == [(["a", "b"], 1, 0.5), (["c"], 0, None)]
