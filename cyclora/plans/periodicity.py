@@ -152,7 +152,7 @@ def calendar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
+_MONTHLY = (
     _SPARSE
     + f""", f AS ({_FEATURES}),
 l AS (SELECT term, day, '<v,e,v,' || day || ',v,v>' AS pattern, list(date ORDER BY date) AS x FROM f GROUP BY term, day HAVING count(*) > 2),
@@ -164,8 +164,10 @@ u AS (SELECT *, CASE WHEN step BETWEEN 1 AND 6 THEN [
       lambda j: day <= day(last_day((date_trunc('month', x[k]) + to_months((j * step)::INTEGER))::DATE)))
     FOR k IN range(1, len(x)) IF d[k] <> step] ELSE [] END AS ok FROM s),
 c AS (SELECT *, coalesce(list_sum([len([j FOR j, p IN o IF j = p]) FOR o IN ok]), 0) AS n_gaps FROM u)"""
-    + _SCORED.format(inner="SELECT c.*, (SELECT count(*) FROM t WHERE t.term = c.term) AS total FROM c").replace("SELECT term, pattern", "SELECT term, pattern, x[1] AS first")
 )
+
+
+@query(_MONTHLY + _SCORED.format(inner="SELECT c.*, (SELECT count(*) FROM t WHERE t.term = c.term) AS total FROM c").replace("SELECT term, pattern", "SELECT term, pattern, x[1] AS first"))
 def monthly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of monthly dates; gaps end at a month that lacks the day."""
     dates = P.term_dates(sparse_terms(spark, sf_dir))
@@ -176,6 +178,58 @@ def monthly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Candidates are taken one by one, best first, unless they share a date with one that was taken.
+_CHOSEN = (
+    _MONTHLY.replace("WITH", "WITH RECURSIVE", 1)
+    + """, v AS (SELECT c.*, n / total AS coverage, CASE WHEN step BETWEEN 1 AND 6 THEN n / (n + n_gaps) ELSE 0 END AS consistency
+  FROM c JOIN (SELECT term, count(*) AS total FROM t GROUP BY term) USING (term)),
+o AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY -round((coverage + consistency) / 2, 9), pattern, x[1], -n) AS pos FROM v),
+g(term, pos, taken, dates) AS (
+  SELECT DISTINCT term, 0::BIGINT, []::BIGINT[], []::DATE[] FROM o
+  UNION ALL
+  SELECT g.term, o.pos, CASE WHEN list_has_any(g.dates, o.x) THEN g.taken ELSE list_append(g.taken, o.pos) END,
+         CASE WHEN list_has_any(g.dates, o.x) THEN g.dates ELSE list_concat(g.dates, o.x) END
+  FROM g JOIN o ON o.term = g.term AND o.pos = g.pos + 1),
+z AS (SELECT term, arg_max(taken, pos) AS taken FROM g GROUP BY term),
+q AS (SELECT o.*, (coverage + consistency) / 2 AS score FROM o JOIN z USING (term) WHERE list_contains(z.taken, o.pos))"""
+)
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    dates = P.term_dates(sparse_terms(spark, sf_dir))
+    return P.select(P.score(P.sequences(dates, "date"), _totals(dates))), dates
+
+
+@query(
+    _CHOSEN
+    + """ SELECT term, pattern, x[1] AS first, n::INTEGER AS n, array_to_string([d::VARCHAR FOR d IN x], ' > ') AS dates, step::INTEGER AS step, n_gaps::INTEGER AS n_gaps,
+round(score, 6) AS score FROM q"""
+)
+def monthly_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly patterns of customers' orders that share no date with a better one."""
+    chosen, _ = _monthly(spark, sf_dir)
+    dates = F.array_join(F.transform("dates", lambda d: d.cast("string")), " > ").alias("dates")
+    return chosen.select("term", "pattern", F.element_at("dates", 1).alias("first"), F.size("dates").alias("n"), dates, "step", "n_gaps", F.round("score", 6).alias("score"))
+
+
+@query(
+    _CHOSEN
+    + """, e AS (SELECT term, max(date) AS last_date FROM t GROUP BY term),
+p AS (SELECT q.term, pattern, last_date, day, step, score, list_filter(range(1, 400), lambda j:
+      day <= day(last_day((date_trunc('month', last_date) + to_months((j * step)::INTEGER))::DATE))) AS ok
+  FROM q JOIN e USING (term) WHERE score > 0.25 AND step BETWEEN 1 AND 6),
+w AS (SELECT * EXCLUDE (ok), unnest([j FOR j, p IN ok IF j = p]) AS j FROM p),
+d AS (SELECT *, (date_trunc('month', last_date) + to_months((j * step)::INTEGER))::DATE + (day - 1)::INTEGER AS date FROM w)
+SELECT term, pattern, last_date, date, step::INTEGER AS step, round(score, 6) AS score FROM d WHERE date < DATE '2003-12-31'"""
+)
+def predict_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coming dates of the monthly patterns until the end of 2003; a pattern ends at a month that lacks its day."""
+    chosen, dates = _monthly(spark, sf_dir)
+    last = dates.groupBy("term").agg(F.max("date").alias("last_date"))
+    got = P.predict_calendar(chosen, last, F.lit("2003-12-31").cast("date"), 0.25)
+    return got.select("term", "pattern", "last_date", "date", "step", F.round("score", 6).alias("score"))
+
+
 def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dates = P.term_dates(sparse_terms(spark, sf_dir))
     return P.select(P.score(P.candidates(dates), _totals(dates))), dates
@@ -183,7 +237,7 @@ def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def calendar_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns of customers' orders, of all kinds; a greedy choice that SQL does not express."""
+    """Patterns of customers' orders, of all kinds; ``monthly_selected`` is the same choice among one kind, with SQL."""
     chosen, _ = _selected(spark, sf_dir)
     return _shown(chosen).join(chosen.select("term", "pattern", F.element_at("dates", 1).alias("first"), F.round("score", 6).alias("score")), ["term", "pattern"])
 

@@ -117,7 +117,13 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.components(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), edges)
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT o_custkey AS grp, o_orderkey AS id, o_orderdate::DATE AS date FROM orders),
+k AS (SELECT *, (date - DATE '1970-01-01')::BIGINT * 4294967296 + id AS k FROM o),
+r(grp, k) AS (SELECT grp, min(k) FROM k GROUP BY grp
+  UNION ALL SELECT r.grp, min(k.k) FROM r JOIN k ON k.grp = r.grp AND k.k // 4294967296 > r.k // 4294967296 + 30 GROUP BY r.grp)
+SELECT k.grp, k.id, k.date FROM k JOIN r ON r.grp = k.grp AND r.k = k.k WHERE k.grp IN (SELECT grp FROM r GROUP BY grp HAVING count(*) >= 3)"""
+)
 def spaced_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer that are more than 30 days apart."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"))
