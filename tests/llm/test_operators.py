@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,6 +422,37 @@ def test_near_copies(spark, texts, width):
     assert kept.columns == docs.columns and kept.count() == sum(r["stays"] for r in got)
 
 
+def test_sorted_labels_cut_anywhere_give_the_same_regions():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(1, 60))
+        labels = rng.integers(0, 3, (n, 13)).astype(np.uint8)
+        labels[:, 1:9] = rng.integers(0, 2, (n, 1))
+        labels[:, 0] = rng.integers(0, 2, n)
+        labels, nodes = labels[np.lexsort(labels.T[::-1])], np.arange(n) + 100
+        pairs, members, ends = set(), [], []
+        for p, at in enumerate(np.split(np.arange(n), np.sort(rng.integers(0, n + 1, rng.integers(0, 5))))):
+            if len(at):
+                pairs |= set(zip(*lsh_forest.neighbours(labels[at], nodes[at])))
+                common = lsh_forest.common_places(labels[at])
+                shared = common >= lsh_forest.SHALLOW
+                shared[:-1] |= common[1:] >= lsh_forest.SHALLOW
+                members += list(zip(lsh_forest.regions(labels[at][shared]), nodes[at][shared]))
+                ends += [(nodes[i], len(at), labels[i].tobytes(), p, k, shared[k]) for k, i in enumerate(at) if k < 7 or k >= len(at) - 7]
+        cut = lsh_forest.across(pd.DataFrame(ends, columns=["a", "b", "label", "part", "at", "inside"]))
+        rows = lambda kind: list(map(tuple, cut[cut["kind"] == kind][["a", "b"]].to_numpy()))
+        pairs, members = pairs | set(rows(0)), members + rows(1)
+        by_prefix = collections.defaultdict(list)
+        for i in range(n):
+            by_prefix[labels[i, :9].tobytes()].append(i)
+        assert sorted(members) == sorted((lsh_forest.regions(labels[v[:1]])[0], nodes[i]) for v in by_prefix.values() if len(v) > 1 for i in v)
+        for v in by_prefix.values():
+            for k, i in enumerate(v):
+                for j in v[:k] if len(v) <= lsh_forest.REGION else v[max(k - lsh_forest.NEAR, 0) : k]:
+                    assert (nodes[j], nodes[i]) in pairs
+        assert all((labels[a - 100, :9] == labels[b - 100, :9]).all() for a, b in pairs)
+
+
 def test_near_copies_of_nothing(spark):
     docs = docs_of(spark, [(1, None)])
     assert lsh_forest.near_copies(docs.limit(0)).count() == 0
