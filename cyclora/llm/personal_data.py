@@ -38,8 +38,6 @@ SEEDS = 3
 ROUNDS, CONFIDENCE = 3, 0.8
 #: Least share of a pattern's appearances in the corpus that an identifier follows.
 SPECIFIC = 0.5
-#: Characters of text before an identifier that are looked at, and the longest word of a pattern.
-BEFORE, LONGEST = 200, 64
 
 
 def _digits(x: Column) -> Column:
@@ -67,6 +65,16 @@ def _phone(x: Column) -> Column:
     return F.length(_digits(x)).between(10, 15)
 
 
+def _words_before(piece: Column) -> Column:
+    """The two words that end a text, followed by white space, in lower case with one space between; empty if there aren't two.
+
+    The text is read from its end, so the work is in proportion to its length
+    and a word may be as long as it likes.
+    """
+    last = F.regexp_extract(F.reverse(piece), r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)", 1)
+    return F.lower(F.regexp_replace(F.reverse(last), SPACE, " "))
+
+
 _SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
 
 
@@ -83,7 +91,7 @@ def _matches(text: Column, pattern: str, mark: str, valid: Callable[[Column], Co
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["value"])
-        before = F.right(x["piece"], F.lit(BEFORE)) if context else F.lit(None).cast("string")
+        before = _words_before(x["piece"]) if context else F.lit(None).cast("string")
         span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))
         more = F.array_append(acc["spans"], span)
         spans = F.when(valid(x["value"]), more).otherwise(acc["spans"]) if valid else more
@@ -122,7 +130,6 @@ def _occurrences(found: DataFrame) -> DataFrame:
     each = [
         found.select(ROW, "base", F.lit(kind).alias("kind"), F.explode(kind).alias("x")) for kind in ("number", "handle")
     ]
-    words = rf"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]{{1,{LONGEST}}}[\x20\x09-\x0D]+[^\x20\x09-\x0D]{{1,{LONGEST}}})[\x20\x09-\x0D]+$"
     return (
         each[0]
         .unionByName(each[1])
@@ -132,7 +139,7 @@ def _occurrences(found: DataFrame) -> DataFrame:
             F.col("x.start").alias("start"),
             F.col("x.end").alias("end"),
             F.xxhash64(F.when(F.col("kind") == "number", _digits(F.col("x.value"))).otherwise(F.lower("x.value"))).alias("value"),
-            F.lower(F.regexp_replace(F.regexp_extract("x.before", words, 1), SPACE, " ")).alias("words"),
+            F.col("x.before").alias("words"),
             F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"])).alias("seed"),
         )
         .where("words <> ''")
@@ -228,8 +235,10 @@ def find(docs: DataFrame) -> DataFrame:
     """Personal data of each row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_learned.
 
     Spans are kind:start:end in code points, by start and kind. A null text
-    counts as empty and has no spans. Base spans hang on the row alone;
-    repeated rows have equal results. An empty table gives no rows; further
+    counts as empty and has no spans. A text of any length is read whole, with
+    words of any length as contexts. Base spans hang on the row alone;
+    repeated rows have equal results, and each counts as an appearance of its
+    contexts. Patterns that tie are trusted alike. An empty table gives no rows; further
     columns are ignored.
     """
     found = checkpoint(spans(docs))

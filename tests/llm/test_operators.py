@@ -319,6 +319,12 @@ def test_personal_contexts_are_learnt(spark):
     assert not any(got[200 + i]["spans"] for i in range(30))
 
 
+def test_words_before_are_whole(spark):
+    rows = [("so my  phone: ",), ("x" * 300 + "\tY" + "é" * 500 + "\n ",), ("phone: ",), ("a b",), ("",), (" ",), ("ends a b c\x0b",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(personal_data._words_before(F.col("t"))).collect()]
+    assert got == ["my phone:", "x" * 300 + " y" + "é" * 500, "", "", "", "", "b c"]
+
+
 def test_personal_contexts_are_learnt_from_learned_ones(spark):
     rows = [(i, f"so he said, my phone: +1 (555) 555-{1000 + i} and left") for i in range(30)]
     rows += [(100 + i, f"well, my phone: 777{1000 + i} if you like") for i in range(3)]
