@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cyclora.sources.shared import spread
 
-from .common import ROW, SPACE, checkpoint, looked_up, numbered, settled, stored, table
+from .common import ROW, SPACE, checkpoint, looked_up, numbered, settled, table
 
 #: Code points in a block.
 BLOCK = 4096
@@ -61,7 +61,7 @@ def name_texts(
         .drop("text")
     )
     h1, h2 = digest(F.col("block"))
-    blocks = stored(blocks.withColumns({"h1": h1, "h2": h2}))  # read twice: for the names, and to take them
+    blocks = blocks.withColumns({"h1": h1, "h2": h2})  # made twice, for the names and to take them: kept, they need too much disk
     hashed = ["h1", "h2"]
 
     dictionary = _named(blocks.select(*hashed, "block")).drop("block")
