@@ -61,12 +61,14 @@ def name_texts(
         .drop("text")
     )
     h1, h2 = digest(F.col("block"))
-    blocks = blocks.withColumns({"h1": h1, "h2": h2})  # made twice, for the names and to take them: kept, they need too much disk
+    blocks = blocks.withColumns({"h1": h1, "h2": h2})  # made twice, for the names and to take them: kept, they would need as much disk as the texts
     hashed = ["h1", "h2"]
 
-    dictionary = _named(blocks.select(*hashed, "block")).drop("block")
+    counts = blocks.groupBy(*hashed, "block").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.sortWithinPartitions(*hashed, "block").select(*hashed, "n", F.monotonically_increasing_id().alias("name"))
+    dictionary = checkpoint(named)  # without the blocks themselves
     ambiguous = checkpoint(dictionary.groupBy(*hashed).count().where("count > 1").select(*hashed))
-    clear, state = dictionary, blocks.drop("block")
+    clear, state = dictionary, checkpoint(blocks.drop("block"))
     doubtful = not ambiguous.isEmpty()
     if doubtful:
         clear, state = (x.join(ambiguous, hashed, "left_anti") for x in (clear, state))
