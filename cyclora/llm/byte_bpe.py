@@ -30,7 +30,7 @@ from .common import table
 if TYPE_CHECKING:
     from tokenizers import Encoding
 
-#: Pieces of text whose ids a worker remembers at most; beyond that it starts afresh.
+#: Pieces of text whose ids a task remembers at most; beyond that it starts afresh.
 REMEMBERED = 600_000
 
 #: White space and the rest as the split pattern means them (the regex module's \\s has four more characters).
@@ -127,6 +127,11 @@ class Encoder:
         self.known: dict[str, tuple] = {}
         self.digested: dict[str, tuple] = {}
 
+    def forget(self) -> None:
+        """Give the remembered pieces' memory back, for whatever the worker runs next."""
+        self.known.clear()
+        self.digested.clear()
+
     def _learn(self, known: dict[str, tuple], pieces: list[str], offsets: bool, made: Callable[[Encoding], tuple]) -> None:
         """Encode the pieces that are not known yet, each separately."""
         if len(known) > REMEMBERED:
@@ -201,19 +206,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, digests: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
-        for batch in batches:
-            out: list[list] = [[] for _ in kinds]
-            for cell in batch.column(batch.num_columns - 1):
-                text = cell.as_py()
-                if digests:
-                    values: tuple = encoder.digests(text)
-                else:
-                    ids, starts, ends = encoder.ids_and_offsets(text)
-                    values = ids, starts, ends, encoder.decoder.text(ids)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            made = [pa.array(v, types[t]) for v, t in zip(out, kinds.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *kinds])
+        try:
+            for batch in batches:
+                out: list[list] = [[] for _ in kinds]
+                for cell in batch.column(batch.num_columns - 1):
+                    text = cell.as_py()
+                    if digests:
+                        values: tuple = encoder.digests(text)
+                    else:
+                        ids, starts, ends = encoder.ids_and_offsets(text)
+                        values = ids, starts, ends, encoder.decoder.text(ids)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+                made = [pa.array(v, types[t]) for v, t in zip(out, kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *kinds])
+        finally:
+            encoder.forget()
 
     return rows.mapInArrow(run, ", ".join([*fields, *(f"{k} {t}" for k, t in kinds.items())]))
 
