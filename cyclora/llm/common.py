@@ -27,15 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Have the executors delete the shuffle files of plans that are no longer in use.
+
+    Spark does that when the driver's JVM collects those plans, which is left
+    to chance otherwise: files of many rounds would stay side by side.
+    """
+    spark._jvm.System.gc()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the cluster's shared folder."""
     shared_folder(df.sparkSession)
+    reclaim(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder as Parquet and read it back."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}.parquet"
+    reclaim(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
