@@ -58,18 +58,23 @@ def modal_step(gaps: DataFrame) -> DataFrame:
 
 
 def segments(gaps: DataFrame) -> DataFrame:
-    """term, start, n, score of each run of two or more intervals: relative deviation + 100 - n / all * 100 (less is better)."""
-    lists = gaps.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("pos", "interval"))).alias("x"))
-    lists = lists.select("term", F.transform("x", lambda x: x["interval"].cast("double")).alias("x")).where(F.size("x") >= 2)
-    starts = lists.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("x") - 1)))
-    each = starts.withColumn("n", F.explode(F.sequence(F.lit(2), F.size("x") - F.col("start") + 1)))
-    part = F.slice("x", F.col("start"), F.col("n"))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    sums = F.aggregate(part, zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
-    each = each.withColumn("sums", sums)
-    mean = F.col("sums.s") / F.col("n")
-    deviation = F.sqrt(F.greatest(F.col("sums.q") / F.col("n") - mean * mean, F.lit(0.0)))
-    return each.select("term", "start", "n", (100 * deviation / mean + 100 - F.col("n") / F.size("x") * 100).alias("score"))
+    """term, start, n, score of each run of two or more intervals: relative deviation + 100 - n / all * 100 (less is better).
+
+    Sums of a run are differences of running sums, so a run costs the same
+    whatever its length. Sums of whole numbers are exact.
+    """
+    upto = Window.partitionBy("term").orderBy("pos", "interval").rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col("interval").cast("double")
+    summed = gaps.select("term", F.row_number().over(Window.partitionBy("term").orderBy("pos", "interval")).alias("at"), F.sum(x).over(upto).alias("s"), F.sum(x * x).over(upto).alias("q"))
+    zero = F.array(F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
+    lists = summed.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("at", "s", "q"))).alias("x"))
+    lists = lists.select("term", F.concat(zero, "x").alias("x"), F.size("x").alias("all")).where(F.col("all") >= 2)
+    starts = lists.withColumn("start", F.explode(F.sequence(F.lit(1), F.col("all") - 1)))
+    each = starts.withColumn("n", F.explode(F.sequence(F.lit(2), F.col("all") - F.col("start") + 1)))
+    before, last = F.element_at("x", F.col("start")), F.element_at("x", F.col("start") + F.col("n"))
+    mean = (last["s"] - before["s"]) / F.col("n")
+    deviation = F.sqrt(F.greatest((last["q"] - before["q"]) / F.col("n") - mean * mean, F.lit(0.0)))
+    return each.select("term", "start", "n", (100 * deviation / mean + 100 - F.col("n") / F.col("all") * 100).alias("score"))
 
 
 def _pattern(rows: DataFrame, every: str, *slots: str) -> list[Column]:
