@@ -1,4 +1,4 @@
-"""A bounded sample of labelled documents, for fitting models."""
+"""Labelled documents, for fitting models: all of them, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -13,6 +13,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """Every labelled doc_id that is not held out, once, with ``label``; of several labels the largest. Null ones are left out."""
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias(label))
+    )
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """The rows of ``docs`` of at most ``rows`` labelled doc_ids that are not held out, chosen by a hash, with ``label``.
 
@@ -20,13 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     applied to. A doc_id with several labels has the largest; null labels and
     doc_ids are left out. A doc_id that ``docs`` repeats comes as often.
     """
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("__label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
+    every = labelled(labels, label).withColumnRenamed(label, "__label")
+    chosen = every.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     few = F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen
     return docs.select("doc_id", "text").join(few, "doc_id").withColumnRenamed("__label", label)
 

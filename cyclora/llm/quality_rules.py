@@ -4,26 +4,26 @@ Each document is described by the statistics that quality rules test. Trees of
 random splits are grown on small subsamples; a document that few splits set
 apart has short paths and is anomalous. The forest grows on one part of the
 labelled good documents; the threshold comes from the other part and from the
-labelled bad ones.
+labelled bad ones. All labelled documents that are not held out take part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclora.operators.order import positions, running_sums
 from cyclora.sources.shared import spread
 
 from . import text_stats as S
 from .common import table
-from .labels import labelled_sample, one_each
+from .labels import held_out, labelled, one_each
 
-#: Most labelled rows that the forest and the threshold are fitted on.
-SAMPLE_ROWS = 12_000
 #: Trees, rows in the subsample of each, and most splits on a path.
 TREES, SUBSAMPLE, DEPTH = 200, 256, 9
 #: Least share of the labelled good documents to be kept, among those that pass the base rules.
@@ -67,11 +67,16 @@ class Forest:
     Splits are drawn over the whole side of a node's box, not only over the
     part where its rows are, so that a row where no fitted row is has a short
     path even along features that are constant among the fitted rows.
+    ``drawn`` has the places in ``rows`` of each tree's subsample, where they
+    are drawn already.
     """
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7) -> None:
+    def __init__(
+        self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7, drawn: np.ndarray | None = None
+    ) -> None:
+        drawn = draws(len(rows), trees, subsample, seed) if drawn is None else drawn
         rng = np.random.default_rng(seed)
-        self.size = min(subsample, len(rows))
+        trees, self.size = drawn.shape
         self.depth = DEPTH
         nodes = 2 ** (self.depth + 1)
         self.feature = np.full((trees, nodes), -1, np.int16)
@@ -79,7 +84,7 @@ class Forest:
         self.path = np.zeros((trees, nodes))
         box = np.array([[0.0, 1.0]] * rows.shape[1])
         for t in range(trees):
-            self._grow(t, 1, 0, rows[rng.choice(len(rows), self.size, replace=False)], box, rng)
+            self._grow(t, 1, 0, rows[drawn[t]], box, rng)
 
     def _grow(self, tree: int, node: int, depth: int, rows: np.ndarray, box: np.ndarray, rng: np.random.Generator) -> None:
         if depth == self.depth or len(rows) <= 1:
@@ -107,31 +112,26 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(average_path(self.size), 1e-9))
 
 
+def draws(n: int, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7) -> np.ndarray:
+    """The places, among ``n`` rows, of each tree's subsample; no row is twice in one tree."""
+    rng = np.random.default_rng([seed, 1])
+    return np.stack([rng.choice(n, min(subsample, n), replace=False) for _ in range(trees)])
+
+
 def average_path(n: int) -> float:
     """Mean length of an unsuccessful search in a random tree over n rows."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
 
-def base_failed(base: np.ndarray) -> np.ndarray:
-    return (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
+def base_failed(n_words: np.ndarray | Column, n_repeat_words: np.ndarray | Column) -> np.ndarray | Column:
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
 class Model:
-    """A forest with its threshold; with fewer than ``LEAST_GOOD`` good rows there is none and only the base rules hold.
+    """A forest with its threshold; without a forest only the base rules hold."""
 
-    Every other good row that passes the base rules grows the forest (rows
-    come in the order of a hash). The rest, and the bad rows that pass, set
-    the threshold.
-    """
-
-    def __init__(self, base: np.ndarray, features: np.ndarray, good: np.ndarray, keep_good: float = KEEP_GOOD) -> None:
-        self.forest, self.threshold = None, 1.0
-        passed = ~base_failed(base) if len(base) else np.zeros(0, bool)
-        fit = features[good & passed] if len(features) else features
-        if len(fit) >= LEAST_GOOD:
-            self.forest = Forest(fit[::2])
-            bad = features[~good & passed]
-            self.threshold = calibrated(self.forest.scores(fit[1::2]), self.forest.scores(bad), keep_good)
+    def __init__(self, forest: Forest | None = None, threshold: float = 1.0) -> None:
+        self.forest, self.threshold = forest, threshold
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return self.forest.scores(features) if self.forest else np.zeros(len(features))
@@ -153,36 +153,87 @@ def calibrated(good: np.ndarray, bad: np.ndarray, keep_good: float) -> float:
     return float((every[at] + every[at + 1]) / 2) if at + 1 < len(every) else float(every[at])
 
 
+def threshold(counts: DataFrame, keep_good: float) -> float:
+    """What ``calibrated`` finds, of a table of any size: each score once, with the numbers of good and bad rows that have it.
+
+    Only a few sums and scores come to the driver. There must be a good row.
+    """
+    upto = running_sums(counts, ["score"], {"__good": "good", "__bad": "bad"}).select(
+        "score", "good", "bad", (F.col("__good") + F.col("good")).alias("good_upto"), (F.col("__bad") + F.col("bad")).alias("bad_upto")
+    )
+    n_good, n_bad = upto.agg(F.sum("good"), F.sum("bad")).first()
+    at = (n_good - 1) * keep_good
+    low = math.floor(at)
+    beside = [F.min(F.when(F.col("good_upto") > k, F.col("score"))) for k in (low, min(low + 1, n_good - 1))]
+    least = float(np.quantile(upto.agg(*beside).first(), at - low))
+    if not n_bad:
+        return least
+    wrong = (n_good - F.col("good_upto")) / F.lit(n_good) + F.col("bad_upto") / F.lit(n_bad)
+    # errors fall and rise with the score; those at the least threshold are those at the last score up to it
+    up_to_least, best = upto.agg(
+        F.max(F.when(F.col("score") <= least, F.struct("score", wrong.alias("wrong")))),
+        F.min(F.when(F.col("score") > least, F.struct(wrong.alias("wrong"), "score"))),
+    ).first()
+    chosen = best["score"] if best and best["wrong"] < up_to_least["wrong"] else least
+    following = upto.agg(F.min(F.when(F.col("score") > chosen, F.col("score")))).first()[0]
+    return chosen if following is None else (chosen + following) / 2
+
+
 def _measured(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     found = [statistics(x.as_py() or b"") for x in text]
     base = np.array([b for b, _ in found], np.int64).reshape(-1, len(BASE))
     return base, np.array([f for _, f in found]).reshape(-1, len(FEATURES))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents that are not held out; good ones have ``quality`` 1.
+def fit(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD) -> Model:
+    """Fit on all labelled documents that are not held out and pass the base rules; good ones have ``quality`` 1.
+
+    Every other good one (in the order of a hash) is of those that the trees'
+    subsamples are drawn from. The rest, and all bad ones, set the threshold.
+    With fewer than ``LEAST_GOOD`` good ones there is no forest. Only the
+    subsamples come to the driver, whose sizes are parameters.
 
     Of a repeated doc_id with different texts always the same one is taken,
     so two runs give one model. Null texts fail the base rules and have no
     part in it.
     """
-    sample = labelled_sample(docs, labels, "quality", rows)
+    spark = docs.sparkSession
+    # texts are measured where they are, so that only numbers are shuffled to their labels
+    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("binary"))
     kinds = ", ".join([*(f"{c} bigint" for c in BASE), *(f"{c} double" for c in FEATURES)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, features = _measured(batch.column(2))
+            base, features = _measured(batch.column(1))
             columns = [*base.T, *features.T]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *map(pa.array, columns)], names=["doc_id", "quality", *BASE, *FEATURES]
-            )
-
-    measured = sample.select("doc_id", "quality", F.col("text").cast("binary")).mapInArrow(
-        run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, quality int, {kinds}"
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", *BASE, *FEATURES])
+
+    measured = spread(texts).mapInArrow(measure, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {kinds}")
+    passed = (
+        one_each(measured)
+        .where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+        .join(labelled(labels, "quality"), "doc_id")
+        .select(F.xxhash64("doc_id").alias("__hash"), "doc_id", (F.col("quality") != 1).alias("bad"), *FEATURES)
     )
-    # a repeated doc_id counts once, so at most `rows` rows of numbers come to the driver
-    got = one_each(measured).withColumn("__at", F.xxhash64("doc_id")).toPandas().sort_values(["__at", "doc_id"])
-    return Model(got[BASE].to_numpy(), got[FEATURES].to_numpy(), got["quality"].to_numpy() == 1)
+    ranked = positions(passed, ["bad", "__hash", "doc_id"], "__at")  # the good ones come first
+    n = ranked.where(~F.col("bad")).count()
+    if n < LEAST_GOOD:
+        return Model()
+    drawn = 2 * draws((n + 1) // 2)
+    wanted = spark.createDataFrame(pa.table({"__at": np.unique(drawn)}))
+    rows = ranked.join(F.broadcast(wanted), "__at").select("__at", *FEATURES).toPandas().sort_values("__at")
+    forest = Forest(rows[FEATURES].to_numpy(), drawn=np.searchsorted(rows["__at"].to_numpy(), drawn))
+    shared = spark.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = np.stack([x.to_numpy() for x in batch.columns[1:]], 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(features))], names=["bad", "score"])
+
+    rest = ranked.where(F.col("bad") | (F.col("__at") % 2 == 1)).select("bad", *FEATURES)
+    scored = rest.mapInArrow(score, "bad boolean, score double")
+    counts = scored.groupBy("score").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
+    return Model(forest, threshold(counts, keep_good))
 
 
 def judge(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -205,7 +256,7 @@ def judge(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         model = shared.value
         for batch in batches:
             base, features = _measured(batch.column(batch.num_columns - 1))
-            failed, scores = base_failed(base), model.scores(features)
+            failed, scores = base_failed(base[:, 0], base[:, 4]), model.scores(features)
             made = [*base.T, failed, scores, ~failed & (scores <= model.threshold)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], *map(pa.array, made)], names=[*batch.schema.names[:-1], *added]

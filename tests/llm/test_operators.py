@@ -197,6 +197,36 @@ def test_paths_and_thresholds():
     assert quality_rules.calibrated(good, np.array([0.5]), 1.0) == 4.0
 
 
+def test_rules_are_fitted_on_every_labelled_row(spark):
+    rng = random.Random(12)
+    bits = ["river", "Green", "house", "a1", "over", "run!", "slow", "naïve"]
+    junk = ["###", "$$", "|", "99", "STOP!"]
+    texts = [" ".join(rng.choice(junk if rng.random() < (0.3 if i % 5 == 0 else 0.02) else bits) + str(k) * (k % 9 == i % 9) for k in range(52)) for i in range(18_000)]
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(18_000), "text": texts}), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": range(18_000), "quality": [int(i % 5 != 0) for i in range(18_000)]}))
+    order = [r[0] for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    order = [i for i in order if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(order) > 13_000
+    known = {i: quality_rules.statistics(texts[i].encode()) for i in order}
+    passed = [i for i in order if known[i][0][0] >= 50 and 100 * known[i][0][4] <= 50 * known[i][0][0]]
+    good = np.array([known[i][1] for i in passed if i % 5])
+    bad = np.array([known[i][1] for i in passed if i % 5 == 0])
+    forest = quality_rules.Forest(good[::2])
+    model = quality_rules.fit(docs, labels)
+    assert np.array_equal(model.forest.split, forest.split) and np.allclose(model.forest.path, forest.path)
+    assert model.threshold == quality_rules.calibrated(forest.scores(good[1::2]), forest.scores(bad), quality_rules.KEEP_GOOD)
+
+
+@pytest.mark.parametrize("keep_good", [0.0, 0.37, 0.998])
+def test_thresholds_of_tables_are_those_of_arrays(spark, keep_good):
+    rng = np.random.default_rng(6)
+    few = rng.uniform(0, 1, 40)
+    for good, bad in [(rng.choice(few, 300), rng.choice(few, 90) + 0.2), (few, few), (few, few[:0]), (few[:1], few[1:]), (few[:9], few[:9] * 0)]:
+        every = pd.DataFrame({"score": np.concatenate([good, bad]), "bad": np.repeat([False, True], [len(good), len(bad)])})
+        counts = spark.createDataFrame(every).groupBy("score").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
+        assert quality_rules.threshold(counts, keep_good) == quality_rules.calibrated(good, bad, keep_good)
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
