@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cyclora.functions import markup as M
 from cyclora.functions import text as T
+from cyclora.functions.numbers import rounded
 from cyclora.operators import cluster as C
 from cyclora.operators import corpus, events, ranking
 from cyclora.operators import evaluate as E
@@ -235,7 +236,7 @@ WITH j AS (SELECT d.doc_id AS id, d.lang, l.quality AS gold, CASE WHEN d.n_chars
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("id"), "lang", F.col("quality").alias("gold"), F.when(F.col("n_chars") >= 800, 1).otherwise(0).alias("guess"), F.round(F.least(F.col("n_chars") / 5000.0, F.lit(1.0)), 2).alias("score")
+        F.col("doc_id").alias("id"), "lang", F.col("quality").alias("gold"), F.when(F.col("n_chars") >= 800, 1).otherwise(0).alias("guess"), rounded(F.least(F.col("n_chars") / 5000.0, F.lit(1.0)), 2).alias("score")
     )
 
 
@@ -275,7 +276,7 @@ SELECT threshold::DOUBLE AS threshold, count(id) AS n, round(avg(gold), 6) AS ac
 def accuracy_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     thresholds = spark.range(0, 101).select((F.col("id") / 100.0).alias("threshold"))
     got = E.accuracy_by_threshold(_judged(spark, sf_dir), thresholds, correct="gold")
-    return got.withColumn("accuracy", F.round("accuracy", 6))
+    return got.withColumn("accuracy", rounded("accuracy"))
 
 
 @query(

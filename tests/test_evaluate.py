@@ -3,8 +3,10 @@
 import datetime as dt
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
+from cyclora.functions.numbers import rounded
 from cyclora.operators import evaluate as E
 
 
@@ -92,3 +94,21 @@ def test_steps_kinds_and_answers(spark):
     allocated = spark.createDataFrame([(1, 0, "s", "i"), (2, 3, "s", "i"), (1, 1, "s", "j")], "survey int, pos int, system string, item string")
     given = spark.createDataFrame([(1, 0, "1"), (2, 3, "0"), (1, 1, "1"), (2, 0, "1")], "survey int, pos int, vote string")
     assert {r["item"]: r["votes"] for r in E.answers(allocated, given).collect()} == {"i": ["1", "0"], "j": ["1"]}
+
+
+def test_rounding_is_that_of_sql(spark):
+    duck = pytest.importorskip("duckdb")
+    values = [k / 5000.0 for k in range(5001)] + [-0.145, None]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    want = [r[0] for v in values for r in duck.execute("SELECT round(?::DOUBLE, 2)", [v]).fetchall()]
+    assert [r[0] for r in rows.orderBy("k").select(rounded("v", 2)).collect()] == want
+    assert want[725] == 0.14 and want[-1] is None
+
+
+def test_threshold_at_a_half(spark, tmp_path):
+    from cyclora.plans import catalogue
+
+    spark.createDataFrame([(k, "en", n) for k, n in enumerate((725, 726, 750, None))], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(4)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["threshold"]: r["n"] for r in catalogue.QUERIES["accuracy_by_threshold"](spark, str(tmp_path)).collect()}
+    assert (got[0.14], got[0.15], got[1.0]) == (4, 3, 1)  # 725 / 5000 * 100 is below 14.5
