@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclora.functions import text as T
+from cyclora.functions.numbers import rounded
 
 
 def ngram_counts(items: DataFrame, longest: int = 5, least: int = 1) -> DataFrame:
@@ -59,7 +60,7 @@ def tfidf(items: DataFrame) -> DataFrame:
 def top_terms(weights: DataFrame, k: int = 4) -> DataFrame:
     """The ``k`` heaviest terms of each id; equal weights in the order of the alphabet."""
     order = Window.partitionBy("id").orderBy(F.desc("weight"), "term")
-    return weights.withColumn("weight", F.round("weight", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return weights.withColumn("weight", rounded("weight", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclora.functions.association import g_squared
+from cyclora.functions.numbers import rounded
 from cyclora.operators.order import running_sums
 
 
@@ -32,7 +33,7 @@ def rank_events(pairs: DataFrame, total: DataFrame, support: int = 5, top: int |
     if expected_only:
         scored = scored.where(F.col("n_both") * F.col("n_total") > F.col("n_date") * F.col("n_entity"))
     # compared as rounded, so that sums in another order don't change the order of ties
-    scored = scored.withColumn("g2", F.round("g2", 6))
+    scored = scored.withColumn("g2", rounded("g2", 6))
     return scored.orderBy(F.desc("g2"), "date", "entity").limit(top) if top else scored
 
 

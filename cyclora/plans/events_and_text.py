@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cyclora.functions import association as A
 from cyclora.functions import text as T
+from cyclora.functions.numbers import rounded
 from cyclora.operators import corpus, ranking
 from cyclora.plans.registry import query
 from cyclora.plans.standins import document_tokens, event_pairs, keyed_events, table
@@ -41,7 +42,7 @@ def g2_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = keyed_events(spark, sf_dir)
-    pairs = e.select("date", F.col("k").cast("string").alias("entity"), F.round("value", 1).cast("string").alias("text"))
+    pairs = e.select("date", F.col("k").cast("string").alias("entity"), rounded("value", 1).cast("string").alias("text"))
     return ranking.rank_events(pairs, _total(pairs), top=2500).select("date", "entity", "g2")
 
 
@@ -76,12 +77,12 @@ def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BASKETS.format(name="pmi", expr="log10((b.n / (SELECT count(DISTINCT basket) FROM x)) / (sa.n * sb.n / pow((SELECT count(DISTINCT basket) FROM x), 2)))"))
 def pmi_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = A.pointwise_information(F.col("n_baskets"), F.col("n_a"), F.col("n_b"), F.col("n_both"))
-    return _brands(spark, sf_dir).select("a", "b", F.round(score, 6).alias("pmi"))
+    return _brands(spark, sf_dir).select("a", "b", rounded(score, 6).alias("pmi"))
 
 
 @query(_BASKETS.format(name="ratio", expr="b.n / (sa.n + sb.n)"))
 def overlap_ratio_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _brands(spark, sf_dir).select("a", "b", F.round(A.overlap_ratio(F.col("n_a"), F.col("n_b"), F.col("n_both")), 6).alias("ratio"))
+    return _brands(spark, sf_dir).select("a", "b", rounded(A.overlap_ratio(F.col("n_a"), F.col("n_b"), F.col("n_both")), 6).alias("ratio"))
 
 
 @query(
@@ -160,7 +161,7 @@ def _commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_COMMON + "SELECT ngram, n_anchor, n_total, round(commonness, 6) AS commonness FROM k")
 def ngram_commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _commonness(spark, sf_dir).withColumn("commonness", F.round("commonness", 6))
+    return _commonness(spark, sf_dir).withColumn("commonness", rounded("commonness", 6))
 
 
 @query(
@@ -171,7 +172,7 @@ FROM g JOIN k USING (ngram) WHERE commonness > 0.05 AND NOT (n = 1 AND regexp_ma
 def ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(F.struct("conv_id", "turn").alias("id"), T.terms(F.col("text")).alias("tokens"))
     linked = corpus.link(turns, _commonness(spark, sf_dir))
-    return linked.groupBy("ngram").agg(F.round(F.first("commonness"), 6).alias("commonness"), F.count(F.lit(1)).alias("n"))
+    return linked.groupBy("ngram").agg(rounded(F.first("commonness"), 6).alias("commonness"), F.count(F.lit(1)).alias("n"))
 
 
 def _document_commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,13 +188,13 @@ def document_ngram_1_5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def document_ngram_commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _document_commonness(spark, sf_dir).withColumn("commonness", F.round("commonness", 6))
+    return _document_commonness(spark, sf_dir).withColumn("commonness", rounded("commonness", 6))
 
 
 @query()
 def document_ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = corpus.link(document_tokens(spark, sf_dir), _document_commonness(spark, sf_dir))
-    return linked.groupBy("ngram").agg(F.round(F.first("commonness"), 6).alias("commonness"), F.count(F.lit(1)).alias("n"))
+    return linked.groupBy("ngram").agg(rounded(F.first("commonness"), 6).alias("commonness"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -224,7 +225,7 @@ WHERE len(w) > 0 AND len(list_distinct(w)) / len(w) > 0.30"""
 )
 def type_token_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", T.type_token_ratio(F.col("text")).alias("ratio"))
-    return rows.where("ratio > 0.30").select("doc_id", F.round("ratio", 6).alias("ratio"))
+    return rows.where("ratio > 0.30").select("doc_id", rounded("ratio", 6).alias("ratio"))
 
 
 @query(f"SELECT term, array_to_string(list_sort(list(DISTINCT id)), ',') AS postings FROM ({_TERMS}) GROUP BY term")
@@ -258,7 +259,7 @@ w AS (SELECT id, term, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS
 
 @query(_TFIDF + "SELECT id, term, tf, round(weight, 6) AS weight FROM w")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.tfidf(document_tokens(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return corpus.tfidf(document_tokens(spark, sf_dir)).withColumn("weight", rounded("weight", 6))
 
 
 @query(
@@ -283,4 +284,4 @@ def place_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cyclora.operators.events import place_vote as vote
 
     e = keyed_events(spark, sf_dir).select(F.concat_ws("-", "user_id", "event_type").alias("id"), F.col("k").cast("string").alias("place"))
-    return vote(e, 0.2).withColumn("share", F.round("share", 6))
+    return vote(e, 0.2).withColumn("share", rounded("share", 6))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cyclora.functions import linking as L
 from cyclora.functions import text as T
+from cyclora.functions.numbers import rounded
 from cyclora.operators import corpus, enrich, events
 from cyclora.operators import evaluate as E
 from cyclora.operators import periodic as P
@@ -70,7 +71,7 @@ def enriched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity = F.struct(F.col("term"), F.length("term").cast("double").alias("score"))
     found = texts.select("id", F.explode(T.ngrams(T.terms(F.col("text")), 2)).alias("term")).distinct().groupBy("id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
     got = enrich.enrich(found, texts, words)
-    return got.select("id", F.array_join("terms", " | ").alias("terms"), F.round("ratio", 6).alias("ratio"))
+    return got.select("id", F.array_join("terms", " | ").alias("terms"), rounded("ratio", 6).alias("ratio"))
 
 
 @query("SELECT o_custkey AS cluster, max(o_totalprice) AS score, list_aggregate(list_sort(list(DISTINCT o_orderpriority)), 'string_agg', ', ') AS terms, count(*)::INTEGER AS n_texts FROM orders GROUP BY o_custkey")
@@ -100,7 +101,7 @@ def stdev_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = P.similar_dates(dates.join(scores, "term", "left_semi"), gaps).checkpoint()
     groups = P.group_by_dates(scores, near, _cosines_of(spark, sf_dir, near), 0.6)
     got = P.merge_intervals(groups, scores, dates)
-    return got.select("term", F.array_join(F.transform("terms", lambda t: t.cast("string")), ",").alias("terms"), F.round("score", 6).alias("score"), F.size("dates").alias("n_dates"), F.size("intervals").alias("n_intervals"))
+    return got.select("term", F.array_join(F.transform("terms", lambda t: t.cast("string")), ",").alias("terms"), rounded("score", 6).alias("score"), F.size("dates").alias("n_dates"), F.size("intervals").alias("n_intervals"))
 
 
 @query()
@@ -119,7 +120,7 @@ def calendar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     cosines = sims.join(name("a", "pattern"), "a").join(name("b"), "b").select("ta", "tb", "pattern", "cosine")
     groups = P.group_similar(scored, cosines, 0.7)
     got = P.merge_groups(scored, groups, dates)
-    return got.select("term", "pattern", F.size("dates").alias("n"), "step", F.round("coverage", 6).alias("coverage"), F.round("consistency", 6).alias("consistency"))
+    return got.select("term", "pattern", F.size("dates").alias("n"), "step", rounded("coverage", 6).alias("coverage"), rounded("consistency", 6).alias("consistency"))
 
 
 @query(
@@ -172,7 +173,7 @@ def step_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, deviation and median of customers' modal intervals, single days aside."""
     gaps = P.intervals(P.term_dates(sparse_terms(spark, sf_dir))).where("interval > 1")
     got = E.step_statistics(P.modal_step(gaps))
-    return got.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "deviation", "median")])
+    return got.select("n", *[rounded(c, 6).alias(c) for c in ("mean", "deviation", "median")])
 
 
 # judged systems
@@ -195,7 +196,7 @@ SELECT *, round(n_right / n_system, 6) AS precision, round(n_right / n_gold, 6)
 )
 def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = E.entity_scores(*_sides(spark, sf_dir))
-    return got.select("n_right", "n_system", "n_gold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return got.select("n_right", "n_system", "n_gold", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(
@@ -206,7 +207,7 @@ SELECT n_right, n_system, n_gold, round(n_right / n_system, 6) AS precision, rou
 )
 def entity_scores_lax(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = E.entity_scores(*_sides(spark, sf_dir), lax=True)
-    return got.select("n_right", "n_system", "n_gold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return got.select("n_right", "n_system", "n_gold", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(
@@ -217,7 +218,7 @@ SELECT system, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r
 def pooled_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("term"), F.col("quality").alias("correct"))
     got = E.pooled(judged.where("term % 3 <> 0"), judged.where("term % 2 = 0"))
-    return got.select("system", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return got.select("system", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(
@@ -240,7 +241,7 @@ SELECT round(100.0 * a / t, 6) AS share_a, round(100.0 * b / t, 6) AS share_b, r
 def time_tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = E.coverage(table(spark, sf_dir, "labels"), docs.where("n_chars >= 800"), docs, "doc_id")
-    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+    return got.select(*[rounded(c, 6).alias(c) for c in got.columns])
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclora.functions import dates as D
+from cyclora.functions.numbers import rounded
 from cyclora.operators import periodic as P
 from cyclora.plans.registry import query
 from cyclora.plans.standins import dense_terms, sparse_terms, table
@@ -32,7 +33,7 @@ _DEVIATION = ", s AS (SELECT term, count(*) AS n, 100 * stddev_pop(interval) / a
 
 @query(_SPARSE + _GAPS + _DEVIATION + " SELECT term, n, round(score, 6) AS score FROM s")
 def relative_stdev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.relative_deviation(P.intervals(P.term_dates(sparse_terms(spark, sf_dir)))).withColumn("score", F.round("score", 6))
+    return P.relative_deviation(P.intervals(P.term_dates(sparse_terms(spark, sf_dir)))).withColumn("score", rounded("score", 6))
 
 
 @query(_DENSE + _GAPS + " SELECT term, count(*) AS n, count(*) FILTER (interval = 1) AS n_ones FROM g GROUP BY term HAVING NOT (count(*) > 15 AND count(*) FILTER (interval = 1) > 0.3 * count(*))")
@@ -59,7 +60,7 @@ SELECT a.term, a.start::INTEGER AS start, a.n::INTEGER AS n,
 FROM a JOIN g ON g.term = a.term AND g.pos BETWEEN a.start AND a.start + a.n - 1 JOIN n ON n.term = a.term GROUP BY a.term, a.start, a.n"""
 )
 def segment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.segments(P.intervals(P.term_dates(sparse_terms(spark, sf_dir)))).withColumn("score", F.round("score", 5))
+    return P.segments(P.intervals(P.term_dates(sparse_terms(spark, sf_dir)))).withColumn("score", rounded("score", 5))
 
 
 _FEATURES = """SELECT DISTINCT term, date, year(date) AS year, month(date) AS month, weekofyear(date) AS week, day(date) AS day,
@@ -148,7 +149,7 @@ def calendar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = P.term_dates(dense_terms(spark, sf_dir))
     got = P.score(P.yearly(dates, "date"), _totals(dates))
     return got.select(
-        "term", "pattern", F.size("dates").alias("n"), "step", F.size("gaps").alias("n_gaps"), F.round("coverage", 6).alias("coverage"), F.round("consistency", 6).alias("consistency")
+        "term", "pattern", F.size("dates").alias("n"), "step", F.size("gaps").alias("n_gaps"), rounded("coverage", 6).alias("coverage"), rounded("consistency", 6).alias("consistency")
     )
 
 
@@ -174,7 +175,7 @@ def monthly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = P.score(P.sequences(dates, "date"), _totals(dates))
     return got.select(
         "term", "pattern", F.element_at("dates", 1).alias("first"), F.size("dates").alias("n"), "step", F.size("gaps").alias("n_gaps"),
-        F.round("coverage", 6).alias("coverage"), F.round("consistency", 6).alias("consistency"),
+        rounded("coverage", 6).alias("coverage"), rounded("consistency", 6).alias("consistency"),
     )
 
 
@@ -209,7 +210,7 @@ def monthly_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly patterns of customers' orders that share no date with a better one."""
     chosen, _ = _monthly(spark, sf_dir)
     dates = F.array_join(F.transform("dates", lambda d: d.cast("string")), " > ").alias("dates")
-    return chosen.select("term", "pattern", F.element_at("dates", 1).alias("first"), F.size("dates").alias("n"), dates, "step", "n_gaps", F.round("score", 6).alias("score"))
+    return chosen.select("term", "pattern", F.element_at("dates", 1).alias("first"), F.size("dates").alias("n"), dates, "step", "n_gaps", rounded("score", 6).alias("score"))
 
 
 @query(
@@ -227,7 +228,7 @@ def predict_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen, dates = _monthly(spark, sf_dir)
     last = dates.groupBy("term").agg(F.max("date").alias("last_date"))
     got = P.predict_calendar(chosen, last, F.lit("2003-12-31").cast("date"), 0.25)
-    return got.select("term", "pattern", "last_date", "date", "step", F.round("score", 6).alias("score"))
+    return got.select("term", "pattern", "last_date", "date", "step", rounded("score", 6).alias("score"))
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +240,7 @@ def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def calendar_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns of customers' orders, of all kinds; ``monthly_selected`` is the same choice among one kind, with SQL."""
     chosen, _ = _selected(spark, sf_dir)
-    return _shown(chosen).join(chosen.select("term", "pattern", F.element_at("dates", 1).alias("first"), F.round("score", 6).alias("score")), ["term", "pattern"])
+    return _shown(chosen).join(chosen.select("term", "pattern", F.element_at("dates", 1).alias("first"), rounded("score", 6).alias("score")), ["term", "pattern"])
 
 
 @query()
@@ -265,7 +266,7 @@ def predict_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = P.intervals(dates)
     last = dates.groupBy("term").agg(F.max("date").alias("last_date"))
     got = P.predict_timeline(P.relative_deviation(gaps), P.modal_step(gaps), last, F.lit("2003-12-31").cast("date"), most=80.0)
-    return got.withColumn("score", F.round("score", 6))
+    return got.withColumn("score", rounded("score", 6))
 
 
 # dates in texts

@@ -41,19 +41,19 @@ s AS (SELECT a, b, sum(wa.weight * wb.weight) AS cosine FROM p JOIN w wa ON wa.i
 @query(_TURN_COSINES + "SELECT p.a, p.b, round(coalesce(cosine, 0), 6) AS cosine FROM p LEFT JOIN s ON s.a = p.a AND s.b = p.b")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = C.same_key_pairs(_turns(spark, sf_dir), "conv_id").select("a", "b")
-    return corpus.cosines(pairs, _turn_weights(spark, sf_dir)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return corpus.cosines(pairs, _turn_weights(spark, sf_dir)).select("a", "b", rounded("cosine", 6).alias("cosine"))
 
 
 @query(_TURN_COSINES + "SELECT a, b, round(cosine, 6) AS cosine FROM s WHERE cosine > 0.7")
 def same_date_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _turns(spark, sf_dir).select("id", F.col("conv_id").alias("key"))
-    return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.7, keys).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.7, keys).select("a", "b", rounded("cosine", 6).alias("cosine"))
 
 
 @query(_TURN_COSINES.replace("a.conv_id = b.conv_id AND ", "") + "SELECT a, b, round(cosine, 6) AS cosine FROM s WHERE cosine > 0.7")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of any conversation."""
-    return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.7).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return corpus.similar_pairs(_turn_weights(spark, sf_dir), 0.7).select("a", "b", rounded("cosine", 6).alias("cosine"))
 
 
 @query()
@@ -94,7 +94,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = C.same_key_pairs(v, "label").select("a", "b")
     vec = lambda k: v.select(F.col("id").alias(k), F.col("e").alias(f"e{k}"))
     dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return C.both_ways(pairs.join(vec("a"), "a").join(vec("b"), "b").select("a", "b", F.round(dot, 6).alias("sim")))
+    return C.both_ways(pairs.join(vec("a"), "a").join(vec("b"), "b").select("a", "b", rounded(dot, 6).alias("sim")))
 
 
 @query(_EDGES + "SELECT a, b, sim, rank::INTEGER AS rank FROM n")
@@ -247,7 +247,7 @@ SELECT lang, n, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r
 )
 def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = E.prf(_judged(spark, sf_dir), "gold", "guess", "lang")
-    return got.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return got.select("lang", "n", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 _RANKED = _JUDGED + ", r AS (SELECT id, row_number() OVER w AS rank, round(sum(gold) OVER w / row_number() OVER w, 6) AS precision FROM j WINDOW w AS (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING))"
@@ -255,7 +255,7 @@ _RANKED = _JUDGED + ", r AS (SELECT id, row_number() OVER w AS rank, round(sum(g
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ranking.running_precision(_judged(spark, sf_dir), "score", "gold", "id")
-    return got.select("id", F.col("rank").cast("bigint").alias("rank"), F.round("precision", 6).alias("precision"))
+    return got.select("id", F.col("rank").cast("bigint").alias("rank"), rounded("precision", 6).alias("precision"))
 
 
 @query(_RANKED + " SELECT id, rank, precision FROM r")
@@ -286,7 +286,7 @@ SELECT b.bin::INTEGER AS bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELEC
 def calendar_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekdays of orders; bins beyond Sunday show that missing ones are filled."""
     days = table(spark, sf_dir, "orders").select(F.weekday(F.to_date("o_orderdate")).alias("weekday"))
-    return E.histogram(days, "weekday", 0, 9).withColumn("share", F.round("share", 6))
+    return E.histogram(days, "weekday", 0, 9).withColumn("share", rounded("share", 6))
 
 
 @query(
@@ -298,13 +298,13 @@ def interval_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cyclora.operators import periodic as P
 
     gaps = P.intervals(P.term_dates(sparse_terms(spark, sf_dir))).where("interval > 1").select(F.col("interval").alias("step"))
-    return E.share_of(gaps, "step").withColumn("share", F.round("share", 6))
+    return E.share_of(gaps, "step").withColumn("share", rounded("share", 6))
 
 
 @query("SELECT quality AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS share FROM labels GROUP BY quality")
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = E.share_of(table(spark, sf_dir, "labels").select(F.col("quality").alias("label")), "label")
-    return got.withColumn("share", F.round("share", 6))
+    return got.withColumn("share", rounded("share", 6))
 
 
 @query(

@@ -112,3 +112,15 @@ def test_threshold_at_a_half(spark, tmp_path):
     spark.createDataFrame([(k, 1) for k in range(4)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["threshold"]: r["n"] for r in catalogue.QUERIES["accuracy_by_threshold"](spark, str(tmp_path)).collect()}
     assert (got[0.14], got[0.15], got[1.0]) == (4, 3, 1)  # 725 / 5000 * 100 is below 14.5
+
+
+def test_precision_is_rounded_as_in_sql(spark, tmp_path):
+    from cyclora.plans import catalogue
+
+    duck = pytest.importorskip("duckdb").connect()
+    spark.createDataFrame([(k, "en", 700 + k % 60) for k in range(640)], "doc_id long, lang string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 7 < 3)) for k in range(640)], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    for t in ("documents", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.QUERIES["precision_at_k"](spark, str(tmp_path)).select("id", "rank", "precision").orderBy("rank").collect()]
+    assert got == duck.execute(f"SELECT id, rank, precision FROM ({catalogue.SQL['precision_at_k']}) ORDER BY rank").fetchall()
