@@ -4,12 +4,14 @@ import collections
 import datetime as dt
 import math
 import random
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cyclora.functions import association as A
+from cyclora.functions import text as T
 from cyclora.operators import corpus, enrich, events, order, ranking
 
 DAY = dt.date(2020, 1, 1)
@@ -154,3 +156,40 @@ def test_events_are_enriched(spark):
     got = {r["id"]: r for r in enrich.enrich(found, texts, words, places).collect()}
     assert list(got[1]["terms"]) == ["markt", "rode hond", "breda"] and list(got[2]["terms"]) == ["anders"]
     assert math.isclose(got[1]["ratio"], 6 / 9) and got[2]["ratio"] == 1
+
+
+def test_order_is_that_of_every_pair():
+    def slow(entities, texts):
+        rank = {e: k for k, e in enumerate(entities)}
+        for k, a in enumerate(entities):
+            for b in entities[k + 1 :]:
+                both = [(t.find(a), t.find(b)) for t in texts if a in t and b in t]
+                before = sum(x < y for x, y in both)
+                first, second = (a, b) if before > len(both) - before else (b, a)
+                if 2 * before != len(both) and rank[first] > rank[second]:
+                    goal, old = rank[second], rank[first]
+                    rank |= {e: r + 1 for e, r in rank.items() if goal <= r < old} | {first: goal}
+        return sorted(entities, key=rank.__getitem__)
+
+    rng = random.Random(10)
+    for _ in range(200):
+        words = [f"w{k}" for k in range(rng.randint(0, 12))]
+        texts = [" ".join(rng.sample(words, rng.randint(0, len(words)))) for _ in range(rng.randint(0, 5))]
+        assert events._ordered(words, texts) == slow(words, texts)
+
+
+def test_many_entities_are_ordered_and_resolved_in_time(spark):
+    """A thousand entities in six texts; pairs aren't searched in the texts each by itself."""
+    words = [f"word{k}" for k in range(1000)]
+    texts = [" ".join(random.Random(s).sample(words, 1000)) for s in range(6)]
+    start = time.perf_counter()
+    events._ordered(words, texts)
+    assert time.perf_counter() - start < 10
+    row = spark.createDataFrame([([(f"{a} {b}", 1.0) for a, b in zip(words, words[1:])],)], "e array<struct<term:string,score:double>>")
+    kept = row.select(F.transform(T.resolve_overlap(F.col("e")), lambda e: e["term"]).alias("x")).first()["x"]
+    seen, want = set(), []
+    for g in sorted(f"{a} {b}" for a, b in zip(words, words[1:])):
+        if seen.isdisjoint(g.split()):
+            want.append(g)
+            seen.update(g.split())
+    assert kept == want
