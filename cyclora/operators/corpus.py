@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cyclora.functions import text as T
 from cyclora.functions.numbers import rounded
 from cyclora.operators import blocks
+from cyclora.sources.shared import shared_folder
 
 
 def ngram_counts(items: DataFrame, longest: int = 5, least: int = 1) -> DataFrame:
@@ -17,6 +18,15 @@ def ngram_counts(items: DataFrame, longest: int = 5, least: int = 1) -> DataFram
     return counted.where(F.col("n_total") >= least).withColumn("n", F.size(F.split("ngram", " ")))
 
 
+#: Most n-grams that are sent to all tasks.
+_FEW = 200_000
+
+
+def _known(ngrams: DataFrame) -> DataFrame:
+    """N-grams to look others up in, sent to all tasks if they are few: those of the corpus then aren't shuffled to find that most aren't there."""
+    return F.broadcast(ngrams) if ngrams.limit(_FEW + 1).count() <= _FEW else ngrams
+
+
 def commonness(anchors: DataFrame, corpus: DataFrame, longest: int = 5) -> DataFrame:
     """ngram, n_anchor, n_total, commonness: how often an n-gram of the corpus is an anchor.
 
@@ -26,15 +36,16 @@ def commonness(anchors: DataFrame, corpus: DataFrame, longest: int = 5) -> DataF
     marked = anchors.groupBy("ngram").agg(F.count(F.lit(1)).alias("n_anchor"))
     marked = marked.where(F.size(F.split("ngram", " ")) <= longest)
     grams = corpus.select(F.explode(T.ngrams(F.col("tokens"), longest)).alias("ngram"))
-    seen = grams.join(marked.select("ngram"), "ngram", "left_semi").groupBy("ngram").agg(F.count(F.lit(1)).alias("n_total"))
+    seen = grams.join(_known(marked.select("ngram")), "ngram", "left_semi").groupBy("ngram").agg(F.count(F.lit(1)).alias("n_total"))
     return marked.join(seen, "ngram").withColumn("commonness", F.col("n_anchor") / F.col("n_total"))
 
 
 def link(items: DataFrame, known: DataFrame, threshold: float = 0.05, longest: int = 5) -> DataFrame:
     """id, ngram, commonness for each occurrence of a known n-gram above the threshold in token arrays (id, tokens)."""
     grams = items.select("id", F.explode(T.ngrams(F.col("tokens"), longest)).alias("ngram"))
-    strong = known.where(F.col("commonness") > threshold).select("ngram", "commonness")
-    return grams.where(T.linkable(F.col("ngram"))).join(strong, "ngram")
+    shared_folder(known.sparkSession)
+    strong = known.where(F.col("commonness") > threshold).select("ngram", "commonness").checkpoint()  # counted, then looked up
+    return grams.where(T.linkable(F.col("ngram"))).join(_known(strong), "ngram")
 
 
 def inverted_index(items: DataFrame) -> DataFrame:

@@ -193,3 +193,13 @@ def test_many_entities_are_ordered_and_resolved_in_time(spark):
             want.append(g)
             seen.update(g.split())
     assert kept == want
+
+
+def test_few_anchors_are_sent_to_the_corpus(spark):
+    """The corpus's n-grams are looked up where they are: only those that are anchors are shuffled."""
+    anchors = spark.createDataFrame([("de kat",), ("hond",)], "ngram string")
+    items = spark.createDataFrame([(1, ["de", "kat", "hond"])], "id int, tokens array<string>")
+    known = corpus.commonness(anchors, items)
+    for plan in (known, corpus.link(items, known)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in text
